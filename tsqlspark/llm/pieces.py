@@ -37,6 +37,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
 #: Segments that a task remembers; when there are more it starts afresh.
 CACHE = 400_000
+_LATTICES: dict = {}
 SPACE = "▁"
 
 
@@ -60,9 +61,13 @@ class Lattice:
                 self.bytes_of.append(piece.replace(SPACE, " ").encode())
         self.byte_ids = [byte_ids[b] for b in range(256)]
         self.least = min(s for _, s in self.pieces.values()) - 10.0 if self.pieces else -10.0
-        self.prefixes = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
+        #: Each prefix of a piece: its (id, score) where it is a piece itself.
+        self.table = {p[:k]: None for p in self.pieces for k in range(1, len(p) + 1)} | self.pieces
         self.joined = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
         self.cache: dict[str, tuple] = {}
+        self.spaced: dict[str, tuple] = {}
+        self.known: dict[str, tuple] = {}
+        self.worse: dict[str, tuple] = {}
 
     def segments(self, text: str) -> list[str]:
         """Parts between positions that every segmentation has as a boundary."""
@@ -74,87 +79,170 @@ class Lattice:
         out.append(text[at:])
         return out
 
-    def search(self, seg: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best segmentations, best first: (score, ids)."""
+    def forward(self, seg: str) -> tuple[list[float], list[list]]:
+        """Best score up to each position, and the edges (start, id, score) that end at it."""
         size, low = len(seg), float("-inf")
         best = [low] * (size + 1)
         best[0] = 0.0
         ending: list[list] = [[] for _ in range(size + 1)]
-        pieces, prefixes = self.pieces, self.prefixes
+        get = self.table.get
         for i in range(size):
-            here = best[i]
+            here, whole = best[i], False
             for j in range(i + 1, size + 1):
-                s = seg[i:j]
-                if s not in prefixes:
+                p = get(seg[i:j], 0)
+                if p == 0:
                     break
-                p = pieces.get(s)
                 if p is not None:
-                    ending[j].append((i, p[0], p[1]))
-                    if here + p[1] > best[j]:
-                        best[j] = here + p[1]
-            if seg[i] not in pieces:
+                    k, s = p
+                    whole = whole or j == i + 1
+                    ending[j].append((i, k, s))
+                    if here + s > best[j]:
+                        best[j] = here + s
+            if not whole:
                 ending[i + 1].append((i, -1 - i, self.least))
                 if here + self.least > best[i + 1]:
                     best[i + 1] = here + self.least
-        heap, found, nth = [(-best[size], 0, size, 0.0, None)], [], 0
+        return best, ending
+
+    def search(self, seg: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+        """The n best segmentations, best first: (score, ids)."""
+        best, ending = self.forward(seg)
+        heap, found, nth = [(-best[-1], 0, len(seg), 0.0, None)], [], 0
         while heap and len(found) < n:
             f, _, at, g, path = heapq.heappop(heap)
             if not at:
                 ids = []
                 while path is not None:
                     k, path = path
-                    if k >= 0:
-                        ids.append(k)
-                    else:
-                        ids.extend(self.byte_ids[b] for b in seg[-1 - k].encode())
-                found.append((-f, tuple(ids)))
+                    ids.append(k)
+                found.append((-f, self._ids(seg, ids)))
                 continue
             for i, k, s in ending[at]:
                 nth += 1
                 heapq.heappush(heap, (-(best[i] + g + s), nth, i, g + s, (k, path)))
         return found
 
-    def solved(self, word: str) -> tuple:
-        """(ids of the best, its score, how much worse the next ones are) of a word."""
-        parts = [self.search(s, self.n_best) for s in self.segments(word)]
-        ids = tuple(chain.from_iterable(p[0][1] for p in parts))
-        worse = merged([tuple(p[0][0] - x[0] for x in p[1:]) for p in parts], self.n_best)
-        got = (ids, sum(p[0][0] for p in parts), worse)
-        if len(self.cache) >= CACHE:
-            self.cache.clear()
-        self.cache[word] = got
-        return got
-
-    def encode(self, text: str | None) -> tuple[list[int], list[float]]:
-        """Ids of the best segmentation; scores of the n best, best first."""
+    def _ids(self, seg: str, edges: list[int]) -> tuple[int, ...]:
+        return tuple(chain.from_iterable((k,) if k >= 0 else [self.byte_ids[b] for b in seg[-1 - k].encode()] for k in edges))
+
+    def first(self, seg: str) -> tuple[bytes, float, float]:
+        """(32-bit ids of the best segmentation, its score, how much worse the second is).
+
+        A second path leaves the best one, so it has an edge that is not on the best one;
+        the best path over such an edge is known from the best scores on both its sides."""
+        best, ending = self.forward(seg)
+        size = len(seg)
+        after = [float("-inf")] * (size + 1)
+        after[size] = 0.0
+        total, loss, on, edges = best[size], float("inf"), size, []
+        for j in range(size, 0, -1):
+            right, chosen = after[j], False
+            if right == float("-inf"):
+                continue
+            for i, k, s in ending[j]:
+                x = right + s
+                if x > after[i]:
+                    after[i] = x
+                x += best[i]
+                if j == on and not chosen and x == total:
+                    chosen = True
+                    edges.append(k)
+                    before = i
+                elif total - x < loss:
+                    loss = total - x
+            if chosen:
+                on = before
+        edges.reverse()
+        return np.array(self._ids(seg, edges), np.int32).tobytes(), total, loss
+
+    def solved(self, word: str) -> tuple[bytes, float, float, str]:
+        """(ids of the best, its score, loss of the second best, the word)."""
+        ids, score, loss = b"", 0.0, float("inf")
+        for s in self.segments(word):
+            got = self.known.get(s)
+            if got is None:
+                if len(self.known) >= CACHE:
+                    self.known.clear()
+                got = self.known[s] = self.first(s)
+            ids += got[0]
+            score += got[1]
+            loss = min(loss, got[2])
+        found = (ids, score, loss, word)
+        if word[0] != SPACE or word[1:2] == SPACE:
+            if len(self.cache) >= CACHE:
+                self.cache.clear()
+            self.cache[word] = found
+        return found
+
+    def spaced_word(self, word: str) -> tuple[bytes, float, float, str]:
+        if len(self.spaced) >= CACHE:
+            self.spaced.clear()
+        found = self.spaced[word] = self.solved(SPACE + word)
+        return found
+
+    def losses(self, word: str) -> tuple[float, ...]:
+        """How much worse than its best the next segmentations of a word are, by A* search."""
+        if word not in self.worse:
+            if len(self.worse) >= CACHE // 8:
+                self.worse.clear()
+            parts = [self.search(s, self.n_best) for s in self.segments(word)]
+            self.worse[word] = merged([tuple(p[0][0] - x[0] for x in p[1:]) for p in parts], self.n_best)
+        return self.worse[word]
+
+    def encode(self, text: str | None) -> tuple[np.ndarray, list[float]]:
+        """Ids of the best segmentation; scores of the n best, best first.
+
+        At most n - 1 words, those of the least losses, differ from the best in the n best."""
         if not text:
-            return [], [0.0]
-        ids, score, worse, first = [], 0.0, [], True
-        for part in text.split(SPACE):
-            if not first:
-                ids.extend(self.byte_ids[b] for b in SPACE.encode())
+            return np.empty(0, np.int32), [0.0]
+        ids, score, worse = [], 0.0, []
+        for k, part in enumerate(text.split(SPACE)):
+            if k:
+                ids.append(np.array([self.byte_ids[b] for b in SPACE.encode()], np.int32).tobytes())
                 score += self.least
             else:
                 part = " " + part
-            first = False
-            words = _WORDS.findall(part.replace(" ", SPACE))
-            cache = self.cache
-            got = [cache.get(w) or self.solved(w) for w in words]
-            ids.extend(chain.from_iterable([g[0] for g in got]))
-            score += sum([g[1] for g in got])
-            worse += heapq.nsmallest(self.n_best, [g[2] for g in got if g[2]])
-        lists = heapq.nsmallest(self.n_best, worse)
-        return ids, [score, *(score - d for d in merged(lists, self.n_best))]
-
-    def decode(self, ids: list[int]) -> str:
+            if "  " in part or k:
+                get, solved = self.cache.get, self.solved
+                got = [get(w) or solved(w) for w in _WORDS.findall(part.replace(" ", SPACE))]
+            else:  # single spaces: a word is known by what follows its space or its newline
+                get, solved, got = self.spaced.get, self.spaced_word, []
+                for i, line in enumerate(part[1:].split("\n")):
+                    words = line.split(" ")
+                    if i:
+                        first = "\n" + words[0]
+                        got.append(self.cache.get(first) or self.solved(first))
+                        del words[0]
+                    got += [get(w) or solved(w) for w in words]
+            if got:
+                each, scores, loss, of = zip(*got, strict=True)
+                ids.extend(each)
+                score += sum(scores)
+                n = min(self.n_best - 1, len(of))
+                if n:
+                    loss = np.array(loss)
+                    worse += [(float(loss[i]), of[i]) for i in (np.argpartition(loss, n - 1)[:n] if n < len(of) else range(n)) if loss[i] < float("inf")]
+        lists = [self.losses(w) for _, w in heapq.nsmallest(self.n_best - 1, worse)]
+        return np.frombuffer(b"".join(ids), np.int32), [score, *(score - d for d in merged(lists, self.n_best))]
+
+    def decode(self, ids) -> str:
         of = self.bytes_of
-        return b"".join([of[i] for i in ids]).decode("utf-8", "replace")[1:]
+        return b"".join([of[i] for i in np.asarray(ids, np.int32).tolist()]).decode("utf-8", "replace")[1:]
 
 
 #: A word of the lattice: a run of spaces with what follows, a newline, or what stands without a space.
 _WORDS = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n+|[^{SPACE}\n]+")
 
 
+def lattice_of(model: bytes, n_best: int) -> Lattice:
+    """One lattice for each Python worker, whose solved words serve its later tasks too."""
+    key = (hashlib.sha256(model).digest(), n_best)
+    if key not in _LATTICES:
+        _LATTICES.clear()
+        _LATTICES[key] = Lattice(model, n_best)
+    return _LATTICES[key]
+
+
 def merged(lists: list[tuple[float, ...]], n: int) -> tuple[float, ...]:
     """The n - 1 smallest positive sums of at most one loss from each list."""
     lists = heapq.nsmallest(n, (x for x in lists if x))
@@ -171,12 +259,12 @@ def encode(docs: DataFrame, model_path: str = MODEL, n_best: int = N_BEST) -> Da
         model = f.read()
 
     def run(batches):
-        lattice = Lattice(model, n_best)
+        lattice = lattice_of(model, n_best)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             got = [lattice.encode(t) for t in texts]
             offsets = np.concatenate([[0], np.cumsum([len(g[0]) for g in got])]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.fromiter(chain.from_iterable(g[0] for g in got), np.int32, int(offsets[-1]))))
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([g[0] for g in got])))
             same = [lattice.decode(g[0]) == t for g, t in zip(got, texts, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array([g[1] for g in got], pa.list_(pa.float64())), pa.array(same, pa.bool_())], names=["doc_id", "ids", "scores", "round_trip"])
 
@@ -190,7 +278,7 @@ def decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
         model = f.read()
 
     def run(batches):
-        lattice = Lattice(model)
+        lattice = lattice_of(model, N_BEST)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([lattice.decode(x or []) for x in b.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
