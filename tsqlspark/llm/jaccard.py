@@ -16,7 +16,8 @@ share the band of the larger one.
 
 Sets that are equal form a class, and only its smallest document goes on.  A key's
 members are first compared with its smallest member only, then links are joined to
-components, then the members of a key that are still in different components are compared
+components; then, where a key still holds several components, members are compared with
+one of its largest component, and at last those that are still in different components
 with each other: every candidate pair is either verified on the texts' shingles
 themselves or already joined, and no group is written out as all its pairs.
 
@@ -35,6 +36,8 @@ from pyspark.sql import functions as F
 from ._common import Words, mix64, small_batches, stored, table
 
 PERCENT, SHINGLE = 85, 4
+#: Rounds that compare a key's members with one other each before the rest are compared.
+LINEAR_ROUNDS = 2
 _CHUNK = 1 << 21
 _C1, _C2, _C3 = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
 
@@ -234,27 +237,47 @@ def linked(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFra
     fits = F.col("n") * 100 >= F.col("n_a") * percent
     fits = fits & (F.col("n_a") * 100 >= F.col("n") * percent)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        one = pairs.join(narrow.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
-        two = one.join(narrow.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
+    def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        one = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
+        two = one.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
         return stored(two.select("a", "b", "a_text", "b_text").mapInArrow(_verify(k, percent), "a long, b long").distinct())
 
+    def open_keys(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Members of keys that hold several components, and of those the ones outside the key's largest."""
+        own = members.join(labels.withColumnRenamed("id", "l_id"), F.col("doc_id") == F.col("l_id"), "left")
+        own = stored(own.select("key", "doc_id", "n", F.coalesce("label", "doc_id").alias("comp")))
+        by_comp = own.groupBy("key", "comp").agg(F.count("*").alias("c"))
+        main = by_comp.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("comps")).filter("comps > 1")
+        some = stored(own.join(main.select("key", F.col("m.comp").alias("main")), "key"))
+        minor = some.filter("comp <> main").select("key", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"))
+        return some, minor
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
+
     # 1. each member with the smallest of its key
     first = members.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("m"), F.count("*").alias("c")).filter("c > 1")
     first = first.select("key", F.col("m.doc_id").alias("a"), F.col("m.n").alias("n_a"))
-    star = stored(members.join(first, "key").filter((F.col("a") != F.col("doc_id")) & fits).select("a", F.col("doc_id").alias("b")).distinct())
-    links = verified(star)
+    tried = stored(members.join(first, "key").filter((F.col("a") != F.col("doc_id")) & fits).select("a", F.col("doc_id").alias("b")).distinct())
+    links = verified(tried, narrow)
     labels = components(links)
-    # 2. members of a key that are still in different components, the largest component's only with the others
-    own = members.join(labels.withColumnRenamed("id", "l_id"), F.col("doc_id") == F.col("l_id"), "left").select("key", "doc_id", "n", F.coalesce("label", "doc_id").alias("comp"))
-    own = stored(own)
-    by_comp = own.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    main = by_comp.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("comps")).filter("comps > 1").select("key", F.col("m.comp").alias("main"))
-    some = own.join(main, "key")
-    minor = some.filter("comp <> main").select("key", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"))
-    cross = minor.join(some, "key").filter((F.col("comp") != F.col("comp_a")) & fits)
-    cross = cross.select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = verified(stored(cross))
+    # 2. where a key still holds several components, those outside its largest with one member of that, another for each key
+    some, minor = open_keys(labels)
+    texts = stored(narrow.join(some.select("doc_id").distinct(), "doc_id"))
+    for turn in range(LINEAR_ROUNDS):
+        other = some.filter("comp = main").groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "doc_id", F.lit(turn)), "doc_id", "n")).alias("m"))
+        other = other.select("key", F.col("m.doc_id").alias("doc_id"), F.col("m.n").alias("n"))
+        pairs = stored(ordered(minor.join(other, "key").filter(fits)).join(tried, ["a", "b"], "left_anti"))
+        new = verified(pairs, texts)
+        tried = tried.union(pairs)
+        if new.isEmpty():
+            break
+        links = links.union(new)
+        labels = components(links)
+        some, minor = open_keys(labels)
+    # 3. all pairs of members of a key that are in different components now
+    cross = ordered(minor.join(some, "key").filter((F.col("comp") != F.col("comp_a")) & fits)).join(tried, ["a", "b"], "left_anti")
+    more = verified(stored(cross), texts)
     every = links.union(more)
     if not more.isEmpty():
         labels = components(every)
