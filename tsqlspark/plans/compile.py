@@ -20,8 +20,13 @@ from ..functions.scalar import call
 Resolver = Callable[[str], DataFrame]
 
 
+def braced(text: str) -> str:
+    """Braces doubled, as text with bound sources is a format string."""
+    return text.replace("{", "{{").replace("}", "}}")
+
+
 def quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
+    return "`" + braced(name.replace("`", "``")) + "`"
 
 
 def literal(value) -> tuple[str, str]:
@@ -33,7 +38,7 @@ def literal(value) -> tuple[str, str]:
         return str(value), "INT"
     if isinstance(value, float):
         return f"{value!r}D", "FLOAT"
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'", "VARCHAR"
+    return "'" + braced(value.replace("\\", "\\\\").replace("'", "\\'")) + "'", "VARCHAR"
 
 
 @dataclass
@@ -70,7 +75,10 @@ class Compiler:
         self.bound: dict[str, DataFrame] = {}
 
     def run(self, query: A.Select) -> DataFrame:
-        return self.spark.sql(self.select(query, None), **self.bound)
+        return self.sql(self.select(query, None))
+
+    def sql(self, text: str) -> DataFrame:
+        return self.spark.sql(text if self.bound else text.replace("{{", "{").replace("}}", "}"), **self.bound)
 
     def bind(self, df: DataFrame) -> str:
         name = f"s{len(self.bound)}"
@@ -174,7 +182,7 @@ class Compiler:
         sql = self.select(q, scope)
         first = q.items[0].expr
         if len(q.items) > 1 or isinstance(first, A.Star):
-            width = len(self.spark.sql(sql, **self.bound).columns)  # analysed only
+            width = len(self.sql(sql).columns)  # analysed only
             return f"SELECT c0 FROM ({sql}) AS w({', '.join(f'c{i}' for i in range(width))})"
         return sql
 
@@ -186,7 +194,7 @@ class Compiler:
         except SqlError:  # it refers to the outer query
             pass
         if not q.group and q.items and all(A.has_aggregate(i.expr) for i in q.items) and len(q.items) == 1:
-            return f"({self.select(q, scope)})", kind or "FLOAT" * 0
+            return f"({self.select(q, scope)})", kind
         sql = self.named(q, scope)
         return f"(SELECT first(k) FROM (SELECT * FROM ({sql}) LIMIT 1) AS q(k))", kind
 
