@@ -59,6 +59,7 @@ def stored(df: DataFrame, sort_by: list[str] | None = None) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark)
     (df.sortWithinPartitions(*sort_by) if sort_by else df).write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()  # shuffle files of finished plans go when the driver collects its garbage
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -195,12 +195,12 @@ def repeated(docs: DataFrame, engine: Engine, length: int, gram: int, frequent:
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
     anchors = narrow.mapInArrow(_anchors(length, gram), "h long, doc_id long")
     shared = anchors.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h", (F.col("c") > frequent).alias("often"))
-    lists = anchors.join(shared, "h").groupBy("doc_id").agg(F.collect_list("h").alias("hs"), F.collect_list("often").alias("often"))
+    lists = stored(anchors.join(shared, "h").groupBy("doc_id").agg(F.collect_list("h").alias("hs"), F.collect_list("often").alias("often")))
     regions = narrow.join(lists, "doc_id").select("doc_id", "text", "hs", "often").mapInArrow(_regions(length, gram), "doc_id long, at int, n int, key long, body binary")
     regions = stored(regions)
     reps = regions.groupBy("key", "body").agg(F.min("doc_id").alias("owner")).repartition("key").sortWithinPartitions("key")
     solved = reps.mapInArrow(_solve(engine, length), "key long, body binary, least array<long>")
-    solved = solved.select("key", F.xxhash64("body").alias("rid"), F.array_max("least").alias("most"), "least")
+    solved = stored(solved.select("key", F.xxhash64("body").alias("rid"), F.array_max("least").alias("most"), "least"))
     back = regions.select("doc_id", "at", "n", "key", F.xxhash64("body").alias("rid")).join(solved, ["key", "rid"])
     runs = F.when(F.col("most") < F.col("doc_id"), F.array(F.struct(F.col("at").alias("s"), F.col("n").alias("c")))).otherwise(
         F.expr("transform(filter(sequence(0, n - 1), i -> least[i] < doc_id), i -> struct(at + i AS s, 1 AS c))")
