@@ -155,8 +155,8 @@ class Lattice:
         edges.reverse()
         return np.array(self._ids(seg, edges), np.int32).tobytes(), total, loss
 
-    def solved(self, word: str) -> tuple[bytes, float, float, str]:
-        """(ids of the best, its score, loss of the second best, the word)."""
+    def solved(self, word: str) -> tuple[bytes, float, float]:
+        """(ids of the best, its score, loss of the second best)."""
         ids, score, loss = b"", 0.0, float("inf")
         for s in self.segments(word):
             got = self.known.get(s)
@@ -167,14 +167,14 @@ class Lattice:
             ids += got[0]
             score += got[1]
             loss = min(loss, got[2])
-        found = (ids, score, loss, word)
+        found = (ids, score, loss)
         if word[0] != SPACE or word[1:2] == SPACE:
             if len(self.cache) >= CACHE:
                 self.cache.clear()
             self.cache[word] = found
         return found
 
-    def spaced_word(self, word: str) -> tuple[bytes, float, float, str]:
+    def spaced_word(self, word: str) -> tuple[bytes, float, float]:
         if len(self.spaced) >= CACHE:
             self.spaced.clear()
         found = self.spaced[word] = self.solved(SPACE + word)
@@ -204,24 +204,27 @@ class Lattice:
                 part = " " + part
             if "  " in part or k:
                 get, solved = self.cache.get, self.solved
-                got = [get(w) or solved(w) for w in _WORDS.findall(part.replace(" ", SPACE))]
+                of = _WORDS.findall(part.replace(" ", SPACE))
+                got = [get(w) or solved(w) for w in of]
             else:  # single spaces: a word is known by what follows its space or its newline
-                get, solved, got = self.spaced.get, self.spaced_word, []
+                get, solved, got, of = self.spaced.get, self.spaced_word, [], []
                 for i, line in enumerate(part[1:].split("\n")):
                     words = line.split(" ")
                     if i:
                         first = "\n" + words[0]
                         got.append(self.cache.get(first) or self.solved(first))
+                        of.append(first)
                         del words[0]
                     got += [get(w) or solved(w) for w in words]
+                    of += words
             if got:
-                each, scores, loss, of = zip(*got, strict=True)
+                each, scores, loss = zip(*got, strict=True)
                 ids.extend(each)
                 score += sum(scores)
                 n = min(self.n_best - 1, len(of))
                 if n:
                     loss = np.array(loss)
-                    worse += [(float(loss[i]), of[i]) for i in (np.argpartition(loss, n - 1)[:n] if n < len(of) else range(n)) if loss[i] < float("inf")]
+                    worse += [(float(loss[i]), of[i] if "  " in part or k or of[i][:1] == "\n" else SPACE + of[i]) for i in (np.argpartition(loss, n - 1)[:n] if n < len(of) else range(n)) if loss[i] < float("inf")]
         lists = [self.losses(w) for _, w in heapq.nsmallest(self.n_best - 1, worse)]
         return np.frombuffer(b"".join(ids), np.int32), [score, *(score - d for d in merged(lists, self.n_best))]
 
