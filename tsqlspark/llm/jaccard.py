@@ -231,7 +231,7 @@ def linked(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFra
     sets = stored(narrow.mapInArrow(_sets(k), "doc_id long, n long, p1 long, p2 long"))
     classes = stored(sets.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "p1", "p2").agg(F.min("doc_id").alias("rep")))
     keyed = narrow.filter("doc_id IS NOT NULL").mapInArrow(_keys(k, percent), "key long, doc_id long")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
+    shared = stored(keyed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"))
     members = keyed.join(shared, "key", "left_semi").join(classes.select(F.col("rep").alias("doc_id"), "n"), "doc_id")
     members = stored(members.select("key", "doc_id", "n"))
     fits = F.col("n") * 100 >= F.col("n_a") * percent

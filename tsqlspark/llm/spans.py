@@ -194,7 +194,7 @@ def repeated(docs: DataFrame, engine: Engine, length: int, gram: int, frequent:
     small_batches(docs.sparkSession)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
     anchors = narrow.mapInArrow(_anchors(length, gram), "h long, doc_id long")
-    shared = anchors.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h", (F.col("c") > frequent).alias("often"))
+    shared = stored(anchors.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h", (F.col("c") > frequent).alias("often")))
     lists = stored(anchors.join(shared, "h").groupBy("doc_id").agg(F.collect_list("h").alias("hs"), F.collect_list("often").alias("often")))
     regions = narrow.join(lists, "doc_id").select("doc_id", "text", "hs", "often").mapInArrow(_regions(length, gram), "doc_id long, at int, n int, key long, body binary")
     regions = stored(regions)
