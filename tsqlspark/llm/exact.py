@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ._common import SPACE, small_batches, table
+from ._common import SPACE, fresh, small_batches, table
 
 #: Bytes of edges that one trie may hold before it spills a subtree.
 TRIE_BYTES = 48 << 20
@@ -225,10 +225,11 @@ def exact_dedup(docs: DataFrame, trie_bytes: int = TRIE_BYTES) -> DataFrame:
 
 def keep_one(docs: DataFrame, trie_bytes: int = TRIE_BYTES) -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns unchanged."""
-    kept = exact_dedup(docs, trie_bytes).filter("kept").select(F.col("doc_id").alias("_keep_id")).distinct()
-    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_keep_id"))).drop("_keep_id")
+    own, nth = fresh(docs, "_keep_id"), fresh(docs, "_nth")
+    kept = exact_dedup(docs, trie_bytes).filter("kept").select(F.col("doc_id").alias(own)).distinct()
+    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(own))).drop(own)
     first = Window.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last())
-    return joined.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").drop("_nth")
+    return joined.withColumn(nth, F.row_number().over(first)).filter(F.col(nth) == 1).drop(nth)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Words, mix64, small_batches, stored, table
+from ._common import Words, fresh, mix64, small_batches, stored, table
 
 PERCENT, SHINGLE = 85, 4
 #: Rounds that compare a key's members with one other each before the rest are compared.
@@ -294,8 +294,9 @@ def linked(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFra
 
 def keep_first(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
     """``docs`` with the smallest document of each component, and those without doc_id."""
-    kept = linked(docs, percent, k).filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_keep"), "left").filter("doc_id IS NULL OR _keep IS NOT NULL").drop("_keep")
+    own = fresh(docs, "_keep")
+    kept = linked(docs, percent, k).filter("doc_id = component_id").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(kept, F.col("doc_id") == F.col(own), "left").filter(F.col("doc_id").isNull() | F.col(own).isNotNull()).drop(own)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ._common import stored, table
+from ._common import fresh, stored, table
 
 BLOCK = 128
 SHARD_WORDS = 1 << 22
@@ -123,11 +123,12 @@ def mixed(docs: DataFrame, **parameters) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a document whole as often as it is
     taken whole, then, for the one cut in each shard, its first words that the quota
     still takes (joined by single spaces).  n_chars, where there is one, follows the text."""
-    got = mix(docs, **parameters).groupBy("doc_id").agg(F.max("taken").alias("_taken"), F.max("size").alias("_size"))
-    joined = docs.alias("d").join(got.withColumnRenamed("doc_id", "_id"), F.col("d.doc_id").eqNullSafe(F.col("_id"))).filter("_taken > 0")
-    copies = joined.withColumn("_words", F.explode(F.expr("transform(sequence(0, CAST((_taken - 1) div _size AS INT)), i -> least(_size, _taken - i * _size))")))
-    cut = F.array_join(F.slice(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""), 1, F.col("_words").cast("int")), " ")
-    text = F.when(F.col("_words") == F.col("_size"), F.col("text")).otherwise(cut)
+    taken, size, words, own = (fresh(docs, n) for n in ("_taken", "_size", "_words", "_id"))
+    got = mix(docs, **parameters).groupBy("doc_id").agg(F.max("taken").alias(taken), F.max("size").alias(size)).withColumnRenamed("doc_id", own)
+    joined = docs.join(got, F.col("doc_id").eqNullSafe(F.col(own))).filter(F.col(taken) > 0)
+    copies = joined.withColumn(words, F.explode(F.expr(f"transform(sequence(0, CAST(({taken} - 1) div {size} AS INT)), i -> least({size}, {taken} - i * {size}))")))
+    cut = F.array_join(F.slice(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""), 1, F.col(words).cast("int")), " ")
+    text = F.when(F.col(words) == F.col(size), F.col("text")).otherwise(cut)
     cols = [text.alias(c) if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return copies.select(*cols)
 
