@@ -63,13 +63,17 @@ def bands(percent: int, ratio: float = 1.5, top: int = 1 << 31) -> list[tuple[in
 def _allocate(low: int, high: int, percent: int) -> tuple[str, int]:
     """('equal' or 'deletion', number of segments) for a band, by estimated cost.
 
-    Equal segments cost a key each; those that are likely to be empty cannot tell sets
-    apart, which is charged as one candidate for each.  Deletion neighbourhoods cost one
-    key for each element more."""
+    Equal segments cost a key each; the empty ones that cannot be left out cannot tell sets
+    apart, which is charged as candidates.  Deletion neighbourhoods cost one key for each
+    element more."""
     h = most_different(high - 1, high - 1, percent)
     equal, deletion = -(-5 * (h + 1) // 4), h // 2 + 1
-    empty = equal * np.exp(-low / equal)
-    return ("equal", equal) if equal + 100 * empty < deletion + high else ("deletion", deletion)
+    forced = 0.0
+    for size in (low, high - 1):
+        empty = equal * np.exp(-size / equal)
+        spare = equal - most_different(size, min(100 * size // percent, high - 1), percent) - 1
+        forced = max(forced, empty + 3 * np.sqrt(empty) - spare)
+    return ("equal", equal) if equal + 100 * forced < deletion + high else ("deletion", deletion)
 
 
 class Sets:
