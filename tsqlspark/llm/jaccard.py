@@ -4,9 +4,10 @@ A document's set are the 64-bit hashes of its distinct word shingles.  Sets of x
 elements that link differ in at most ``H = 15 (x + y) // 185`` elements (for 0.85).  By
 size band the universe of hashes is cut into m segments:
 
-* Large sets: m > H, so at least m - H segments of two linked sets are equal.  Each set
-  leaves out its smallest segments as long as one of these must remain (the allocation:
-  small segments cost most candidates), and indexes the others by their content.
+* Large sets: m > H, so at least m - H segments of two linked sets are equal.  The
+  segments' contents are the keys.  Each set leaves m - H - 1 of them unused (the
+  allocation): empty ones, then those whose content the most sets have.  As all sets
+  follow one order of the keys, the cheapest key that two linked sets share stays.
 * Small sets, whose segments would be nearly empty: m = H // 2 + 1, so that one segment
   differs in one element at most.  The segments and their one-deletion neighbourhoods are
   indexed, which costs more keys but fewer candidates there.
@@ -30,7 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import Words, fresh, mix64, small_batches, stored, table
@@ -108,17 +109,18 @@ class Sets:
         return tuple(self.sums(mix64(self.hash ^ c), self.doc, self.texts) for c in (_C1, _C2))
 
 
-def keys_of(sets: Sets, percent: int, table_: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """(text, key) of the index: large sets vectorised over texts, small ones one by one."""
-    docs_out, keys_out = [], []
+def keys_of(sets: Sets, percent: int, table_: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, key, spare): the index's keys, and for each place how many of its keys may go
+    unused.  A place is twice a text's number, and one more for the keys under which the text
+    is the smaller set of the next band."""
+    at_out, keys_out, spare_out = [], [], np.zeros(2 * sets.texts, np.int64)
     lows = np.array([b[0] for b in table_])
     band = np.searchsorted(lows, sets.size, side="right") - 1
     for up in (0, 1):
-        at = band + up  # the own band, and as the smaller set the next one
-        use = (band >= 0) | (up == 1)
-        use &= (at >= 0) & (at < len(lows)) & (sets.size > 0)
+        at = band + up
+        use = (at >= 0) & (at < len(lows)) & (sets.size > 0)
         if up:
-            use &= 100 * sets.size // percent >= lows[np.minimum(np.maximum(at, 0), len(lows) - 1)]
+            use &= 100 * sets.size // percent >= lows[np.clip(at, 0, len(lows) - 1)]
         for b in np.unique(at[use]):
             low, high = table_[b]
             kind, m = _allocate(low, high, percent)
@@ -131,26 +133,23 @@ def keys_of(sets: Sets, percent: int, table_: list[tuple[int, int]]) -> tuple[np
             place = np.searchsorted(ids, doc)
             cell = place * m + seg
             content = sets.sums(value, cell, len(ids) * m)
-            count = np.bincount(cell, minlength=len(ids) * m).reshape(len(ids), m)
+            full = mix64(content ^ np.tile(salt, len(ids)))
             if kind == "deletion":
-                docs_out += [np.repeat(ids, m), ids[place]]
-                keys_out += [mix64(content ^ np.tile(salt, len(ids))), mix64((content[cell] - value) ^ salt[seg])]
+                at_out += [np.repeat(2 * ids + up, m), 2 * ids[place] + up]
+                keys_out += [full, mix64((content[cell] - value) ^ salt[seg])]
                 continue
+            empty = np.bincount(cell, minlength=len(ids) * m).reshape(len(ids), m) == 0
             size = sets.size[ids]
-            h_most = (100 - percent) * (size + np.minimum(100 * size // percent, high - 1)) // (100 + percent)
-            spare = m - h_most - 1  # segments that may be left out
-            least = np.full(len(ids), -1)
-            for t in range(int(count.max(initial=0)) + 1):
-                fits = (count <= t).sum(1) <= spare
-                if not fits.any():
-                    break
-                least[fits] = t
-            kept = (count > least[:, None]).ravel()
-            docs_out.append(np.repeat(ids, m)[kept])
-            keys_out.append(mix64(content ^ np.tile(salt, len(ids)))[kept])
-    if not docs_out:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    return np.concatenate(docs_out), np.concatenate(keys_out)
+            spare = m - (100 - percent) * (size + np.minimum(100 * size // percent, high - 1)) // (100 + percent) - 1
+            empties = empty.sum(1)
+            # empty segments are the first to go, the last of them before the others
+            kept = (~empty | (np.cumsum(empty, axis=1) <= (empties - spare)[:, None])).ravel()
+            spare_out[2 * ids + up] = np.maximum(0, spare - empties)
+            at_out.append(np.repeat(2 * ids + up, m)[kept])
+            keys_out.append(full[kept])
+    if not at_out:
+        return np.empty(0, np.int64), np.empty(0, np.uint64), spare_out
+    return np.concatenate(at_out), np.concatenate(keys_out), spare_out
 
 
 def _pieces(batch):
@@ -163,25 +162,27 @@ def _pieces(batch):
             first, size = i + 1, 0
 
 
-def _sets(k: int):
-    def run(batches):
-        for b in batches:
-            for ids, texts in _pieces(b):
-                s = Sets(texts, k)
-                p1, p2 = s.prints()
-                yield pa.RecordBatch.from_arrays([ids, pa.array(s.size.astype(np.int64)), pa.array(p1.view(np.int64)), pa.array(p2.view(np.int64))], names=["doc_id", "n", "p1", "p2"])
+_INDEX = "doc_id long, up int, n long, p1 long, p2 long, spare long, keys array<long>"
 
-    return run
 
+def _index(k: int, percent: int):
+    """A row for each text, and one more (``up``) for those that may be the smaller set of a
+    pair in the next band."""
 
-def _keys(k: int, percent: int):
     def run(batches):
         own = bands(percent)
         for b in batches:
             for ids, texts in _pieces(b):
-                doc, key = keys_of(Sets(texts, k), percent, own)
-                both = np.unique(np.stack([doc.astype(np.uint64), key]), axis=1) if len(doc) else np.empty((2, 0), np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(both[1].view(np.int64)), ids.take(pa.array(both[0].astype(np.int64)))], names=["key", "doc_id"])
+                s = Sets(texts, k)
+                at, key, spare = keys_of(s, percent, own)
+                count = np.bincount(at, minlength=2 * s.texts)
+                rows = np.flatnonzero((count > 0) | (np.arange(2 * s.texts) % 2 == 0))
+                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(count[rows])]).astype(np.int32), key[np.argsort(at, kind="stable")].view(np.int64))
+                text = rows // 2
+                p1, p2 = s.prints()
+                long = [s.size.astype(np.int64)[text], p1.view(np.int64)[text], p2.view(np.int64)[text], spare[rows]]
+                columns = [ids.take(pa.array(text)), pa.array((rows % 2).astype(np.int32)), *map(pa.array, long), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "up", "n", "p1", "p2", "spare", "keys"])
 
     return run
 
@@ -232,12 +233,16 @@ def linked(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFra
     """doc_id, n_shingles, rep (smallest document with an equal set), component_id, n_links (verified links found of the class)."""
     small_batches(docs.sparkSession)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = stored(narrow.mapInArrow(_sets(k), "doc_id long, n long, p1 long, p2 long"))
+    wide = stored(narrow.mapInArrow(_index(k, percent), _INDEX))
+    sets = wide.filter("up = 0").select("doc_id", "n", "p1", "p2")
     classes = stored(sets.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "p1", "p2").agg(F.min("doc_id").alias("rep")))
-    keyed = narrow.filter("doc_id IS NOT NULL").mapInArrow(_keys(k, percent), "key long, doc_id long")
-    shared = stored(keyed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"))
-    members = keyed.join(shared, "key", "left_semi").join(classes.select(F.col("rep").alias("doc_id"), "n"), "doc_id")
-    members = stored(members.select("key", "doc_id", "n"))
+    reps = wide.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "n", "p1", "p2"])
+    keyed = reps.select("doc_id", "n", "up", "spare", F.explode("keys").alias("key"))
+    shared = stored(keyed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"))
+    # what a text may leave unused are its most frequent keys: of all keys that two linked
+    # texts share, the least frequent one is among those that both keep
+    ranked = keyed.join(shared, "key").withColumn("place", F.row_number().over(Window.partitionBy("doc_id", "n", "up", "spare").orderBy(F.desc("c"), "key")))
+    members = stored(ranked.filter("place > spare").select("key", "doc_id", "n").distinct())
     fits = F.col("n") * 100 >= F.col("n_a") * percent
     fits = fits & (F.col("n_a") * 100 >= F.col("n") * percent)
 
