@@ -19,7 +19,8 @@ Sets that are equal form a class, and only its smallest document goes on.  A key
 members are first compared with its smallest member only, then links are joined to
 components; then, where a key still holds several components, members are compared with
 one of its largest component, and at last those that are still in different components
-with each other: every candidate pair is either verified on the texts' shingles
+with each other, unless the shingles that only one member of the open keys has already
+leave too few in common: every other candidate pair is either verified on the texts' shingles
 themselves or already joined, and no group is written out as all its pairs.
 
 Defined results: a null, empty or wordless text has an empty set and links with nothing;
@@ -39,6 +40,9 @@ from ._common import Words, fresh, mix64, small_batches, stored, table
 PERCENT, SHINGLE = 85, 4
 #: Rounds that compare a key's members with one other each before the rest are compared.
 LINEAR_ROUNDS = 2
+#: Keys of a text that are looked at to tell whether a pair has been met before; others
+#: only cost a repeated pair.
+FIRST_KEYS = 32
 _CHUNK = 1 << 21
 _C1, _C2, _C3 = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
 
@@ -187,6 +191,17 @@ def _index(k: int, percent: int):
     return run
 
 
+def _elements(k: int):
+    def run(batches):
+        for b in batches:
+            for ids, texts in _pieces(b):
+                s = Sets(texts, k)
+                columns = [ids.take(pa.array(s.doc)), pa.array(s.size.astype(np.int64)[s.doc]), pa.array(s.hash.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "h"])
+
+    return run
+
+
 def shingles(text: str | None, k: int) -> set[bytes]:
     """The set itself, as byte strings."""
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -242,7 +257,7 @@ def linked(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFra
     # what a text may leave unused are its most frequent keys: of all keys that two linked
     # texts share, the least frequent one is among those that both keep
     ranked = keyed.join(shared, "key").withColumn("place", F.row_number().over(Window.partitionBy("doc_id", "n", "up", "spare").orderBy(F.desc("c"), "key")))
-    members = stored(ranked.filter("place > spare").select("key", "doc_id", "n").distinct())
+    members = stored(ranked.filter("place > spare").select("key", "doc_id", "n", F.lit(0).cast("long").alias("u")).distinct())
     fits = F.col("n") * 100 >= F.col("n_a") * percent
     fits = fits & (F.col("n_a") * 100 >= F.col("n") * percent)
 
@@ -254,11 +269,11 @@ def linked(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFra
     def open_keys(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Members of keys that hold several components, and of those the ones outside the key's largest."""
         own = members.join(labels.withColumnRenamed("id", "l_id"), F.col("doc_id") == F.col("l_id"), "left")
-        own = stored(own.select("key", "doc_id", "n", F.coalesce("label", "doc_id").alias("comp")))
+        own = stored(own.select("key", "doc_id", "n", "u", F.coalesce("label", "doc_id").alias("comp")))
         by_comp = own.groupBy("key", "comp").agg(F.count("*").alias("c"))
         main = by_comp.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("comps")).filter("comps > 1")
         some = stored(own.join(main.select("key", F.col("m.comp").alias("main")), "key"))
-        minor = some.filter("comp <> main").select("key", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"))
+        minor = some.filter("comp <> main").select("key", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("u").alias("u_a"), F.col("comp").alias("comp_a"))
         return some, minor
 
     def ordered(pairs: DataFrame) -> DataFrame:
@@ -270,12 +285,18 @@ def linked(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFra
     tried = stored(members.join(first, "key").filter((F.col("a") != F.col("doc_id")) & fits).select("a", F.col("doc_id").alias("b")).distinct())
     links = verified(tried, narrow)
     labels = components(links)
-    # 2. where a key still holds several components, those outside its largest with one member of that, another for each key
+    # shingles that no other member of an open key has are in no intersection
     some, minor = open_keys(labels)
     texts = stored(narrow.join(some.select("doc_id").distinct(), "doc_id"))
+    own = texts.mapInArrow(_elements(k), "doc_id long, n long, h long").groupBy("h").agg(F.min(F.struct("doc_id", "n")).alias("d"), F.max("doc_id").alias("last"))
+    own = own.filter("d.doc_id = last").groupBy("d.doc_id", "d.n").agg(F.count("*").alias("u"))
+    members = stored(some.select("key", "doc_id", "n").join(own, ["doc_id", "n"], "left").fillna(0, ["u"]))
+    fits = fits & (F.least(F.col("n") - F.col("u"), F.col("n_a") - F.col("u_a")) * (100 + percent) >= (F.col("n") + F.col("n_a")) * percent)
+    # 2. where a key still holds several components, those outside its largest with one member of that, another for each key
+    some, minor = open_keys(labels)
     for turn in range(LINEAR_ROUNDS):
-        other = some.filter("comp = main").groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "doc_id", F.lit(turn)), "doc_id", "n")).alias("m"))
-        other = other.select("key", F.col("m.doc_id").alias("doc_id"), F.col("m.n").alias("n"))
+        other = some.filter("comp = main").groupBy("key").agg(F.min(F.struct("u", F.xxhash64("key", "doc_id", F.lit(turn)), "doc_id", "n")).alias("m"))
+        other = other.select("key", "m.doc_id", "m.n", "m.u")
         pairs = stored(ordered(minor.join(other, "key").filter(fits)).join(tried, ["a", "b"], "left_anti"))
         new = verified(pairs, texts)
         tried = tried.union(pairs)
@@ -284,8 +305,13 @@ def linked(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFra
         links = links.union(new)
         labels = components(links)
         some, minor = open_keys(labels)
-    # 3. all pairs of members of a key that are in different components now
-    cross = ordered(minor.join(some, "key").filter((F.col("comp") != F.col("comp_a")) & fits)).join(tried, ["a", "b"], "left_anti")
+    # 3. all pairs of members of a key that are in different components now, each at its
+    # first key as far as FIRST_KEYS of a text's keys tell
+    first = some.groupBy("doc_id").agg(F.slice(F.sort_array(F.collect_set("key")), 1, FIRST_KEYS).alias("first"))
+    some = stored(some.join(first, "doc_id").withColumn("first", F.filter("first", lambda x: x < F.col("key"))))
+    minor = some.filter("comp <> main").select("key", F.col("first").alias("first_a"), *(F.col(c).alias(f"{c}_a") for c in ("n", "u", "comp")), F.col("doc_id").alias("a"))
+    apart = (F.col("comp") != F.col("comp_a")) & fits & ~F.arrays_overlap("first", "first_a")
+    cross = ordered(minor.join(some, "key").filter(apart)).join(tried, ["a", "b"], "left_anti")
     more = verified(stored(cross), texts)
     every = links.union(more)
     if not more.isEmpty():
