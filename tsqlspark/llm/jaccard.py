@@ -251,15 +251,15 @@ def linked(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFra
     wide = stored(narrow.mapInArrow(_index(k, percent), _INDEX).withColumn("row", F.monotonically_increasing_id()))
     sets = stored(wide.filter("up = 0").select("doc_id", "n", "p1", "p2"))
     classes = stored(sets.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "p1", "p2").agg(F.min("doc_id").alias("rep")))
-    reps = stored(wide.select("row", "doc_id", "n", "p1", "p2", "up", "spare").join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "n", "p1", "p2"]).drop("p1", "p2"))
+    reps = stored(wide.select("row", "doc_id", "n", "p1", "p2", "spare").join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "n", "p1", "p2"]).drop("p1", "p2"))
     keyed = wide.filter("doc_id IS NOT NULL").select("row", F.explode("keys").alias("key"))  # no more columns, as each key is a row to shuffle
     shared = stored(keyed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"))
     # what a text may leave unused are its most frequent keys: of all keys that two linked
     # texts share, the least frequent one is among those that both keep
     met = stored(keyed.join(shared, "key"))
     drop_stored(wide)
-    ranked = met.join(reps, "row").withColumn("place", F.row_number().over(Window.partitionBy("doc_id", "n", "up", "spare").orderBy(F.desc("c"), "key")))
-    members = stored(ranked.filter("place > spare").select("key", "doc_id", "n", F.lit(0).cast("long").alias("u")).distinct())
+    ranked = met.join(reps, "row").withColumn("place", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("c"), "key")))
+    members = stored(ranked.filter("place > spare").select("key", "doc_id", "n", F.lit(0).cast("long").alias("u")))
     fits = F.col("n") * 100 >= F.col("n_a") * percent
     fits = fits & (F.col("n_a") * 100 >= F.col("n") * percent)
 
