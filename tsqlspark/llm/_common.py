@@ -7,8 +7,10 @@ gives a text's words as UTF-8 bytes.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -63,6 +65,14 @@ def stored(df: DataFrame, sort_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def freed(spark: SparkSession, seconds: float = 3.0) -> None:
+    """Waits for the shuffle files of finished plans to go: Spark's cleaner removes them some
+    time after the driver has collected its garbage."""
+    gc.collect()  # plans that only Python still refers to
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(seconds)
+
+
 def drop_stored(df: DataFrame) -> None:
     """Deletes the files behind a frame from ``stored``; nothing may still need them."""
     spark = df.sparkSession

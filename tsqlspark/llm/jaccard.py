@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import Words, drop_stored, fresh, mix64, small_batches, stored, table
+from ._common import Words, drop_stored, freed, fresh, mix64, small_batches, stored, table
 
 PERCENT, SHINGLE = 85, 4
 #: Rounds that compare a key's members with one other each before the rest are compared.
@@ -254,10 +254,12 @@ def linked(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFra
     reps = stored(wide.select("row", "doc_id", "n", "p1", "p2", "spare").join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "n", "p1", "p2"]).drop("p1", "p2"))
     keyed = wide.filter("doc_id IS NOT NULL").select("row", F.explode("keys").alias("key"))  # no more columns, as each key is a row to shuffle
     shared = stored(keyed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"))
+    freed(docs.sparkSession)  # the next shuffle is as large
     # what a text may leave unused are its most frequent keys: of all keys that two linked
     # texts share, the least frequent one is among those that both keep
     met = stored(keyed.join(shared, "key"))
     drop_stored(wide)
+    freed(docs.sparkSession)
     ranked = met.join(reps, "row").withColumn("place", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("c"), "key")))
     members = stored(ranked.filter("place > spare").select("key", "doc_id", "n", F.lit(0).cast("long").alias("u")))
     fits = F.col("n") * 100 >= F.col("n_a") * percent
@@ -284,12 +286,15 @@ def linked(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFra
     # 1. each member with the smallest of its key
     first = members.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("m"), F.count("*").alias("c")).filter("c > 1")
     first = first.select("key", F.col("m.doc_id").alias("a"), F.col("m.n").alias("n_a"))
-    tried = stored(members.join(first, "key").filter((F.col("a") != F.col("doc_id")) & fits).select("a", F.col("doc_id").alias("b")).distinct())
-    links = verified(tried, narrow)
+    together = stored(members.join(first, "key").select("doc_id", "n", "a", "n_a").distinct())
+    tried = together.filter((F.col("a") != F.col("doc_id")) & fits).select("a", F.col("doc_id").alias("b")).distinct()
+    # whole texts are shuffled once; only those of documents that share a key go on
+    texts = stored(narrow.join(together.select("doc_id").distinct(), "doc_id"))
+    links = verified(tried, texts)
     labels = components(links)
     # shingles that no other member of an open key has are in no intersection
     some, minor = open_keys(labels)
-    texts = stored(narrow.join(some.select("doc_id").distinct(), "doc_id"))
+    texts = stored(texts.join(some.select("doc_id").distinct(), "doc_id"))
     own = texts.mapInArrow(_elements(k), "doc_id long, n long, h long").groupBy("h").agg(F.min(F.struct("doc_id", "n")).alias("d"), F.max("doc_id").alias("last"))
     own = own.filter("d.doc_id = last").groupBy("d.doc_id", "d.n").agg(F.count("*").alias("u"))
     members = stored(some.select("key", "doc_id", "n").join(own, ["doc_id", "n"], "left").fillna(0, ["u"]))
