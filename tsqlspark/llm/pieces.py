@@ -35,7 +35,8 @@ from ._common import small_batches, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
-#: Segments that a task remembers; when there are more it starts afresh.
+#: Segments that a task remembers; when there are more it starts afresh.  Of words, as many
+#: more that were remembered before are kept.
 CACHE = 400_000
 _LATTICES: dict = {}
 SPACE = "▁"
@@ -66,8 +67,10 @@ class Lattice:
         self.joined = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
         self.cache: dict[str, tuple] = {}
         self.spaced: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
         self.known: dict[str, tuple] = {}
         self.worse: dict[str, tuple] = {}
+        self.vocabulary = None
 
     def segments(self, text: str) -> list[str]:
         """Parts between positions that every segmentation has as a boundary."""
@@ -158,7 +161,10 @@ class Lattice:
     def solved(self, word: str) -> tuple[bytes, float, float]:
         """(ids of the best, its score, loss of the second best)."""
         ids, score, loss = b"", 0.0, float("inf")
-        for s in self.segments(word):
+        parts = self.segments(word)
+        if len(parts) == 1 and word[0] == SPACE and word[1:2] != SPACE:
+            return self.first(word)  # remembered as the word
+        for s in parts:
             got = self.known.get(s)
             if got is None:
                 if len(self.known) >= CACHE:
@@ -176,8 +182,9 @@ class Lattice:
 
     def spaced_word(self, word: str) -> tuple[bytes, float, float]:
         if len(self.spaced) >= CACHE:
+            self.older = dict(self.spaced)
             self.spaced.clear()
-        found = self.spaced[word] = self.solved(SPACE + word)
+        found = self.spaced[word] = self.older.get(word) or self.solved(SPACE + word)
         return found
 
     def losses(self, word: str) -> tuple[float, ...]:
@@ -205,7 +212,7 @@ class Lattice:
             if "  " in part or k:
                 get, solved = self.cache.get, self.solved
                 of = _WORDS.findall(part.replace(" ", SPACE))
-                got = [get(w) or solved(w) for w in of]
+                got = found(get, solved, of)
             else:  # single spaces: a word is known by what follows its space or its newline
                 get, solved, got, of = self.spaced.get, self.spaced_word, [], []
                 for i, line in enumerate(part[1:].split("\n")):
@@ -215,7 +222,7 @@ class Lattice:
                         got.append(self.cache.get(first) or self.solved(first))
                         of.append(first)
                         del words[0]
-                    got += [get(w) or solved(w) for w in words]
+                    got += found(get, solved, words)
                     of += words
             if got:
                 each, scores, loss = zip(*got, strict=True)
@@ -228,9 +235,19 @@ class Lattice:
         lists = [self.losses(w) for _, w in heapq.nsmallest(self.n_best - 1, worse)]
         return np.frombuffer(b"".join(ids), np.int32), [score, *(score - d for d in merged(lists, self.n_best))]
 
+    def decode_all(self, ids: pa.ListArray) -> list[bytes]:
+        """UTF-8 of the text of each row, by one take over all rows' ids."""
+        if self.vocabulary is None:
+            self.vocabulary = pa.array(self.bytes_of, pa.large_binary())
+        offsets = ids.offsets.to_numpy()
+        taken = self.vocabulary.take(ids.values.slice(offsets[0], offsets[-1] - offsets[0]))
+        at = np.frombuffer(taken.buffers()[1], np.int64)[offsets - offsets[0] + taken.offset].tolist()
+        data = memoryview(taken.buffers()[2] or b"")
+        return [bytes(data[i + 1 : j]) for i, j in zip(at[:-1], at[1:], strict=True)]
+
     def decode(self, ids) -> str:
-        of = self.bytes_of
-        return b"".join([of[i] for i in np.asarray(ids, np.int32).tolist()]).decode("utf-8", "replace")[1:]
+        got = self.decode_all(pa.array([ids], pa.list_(pa.int32())))
+        return got[0].decode("utf-8", "replace")
 
 
 #: A word of the lattice: a run of spaces with what follows, a newline, or what stands without a space.
@@ -246,6 +263,14 @@ def lattice_of(model: bytes, n_best: int) -> Lattice:
     return _LATTICES[key]
 
 
+def found(get, solved, words: list[str]) -> list[tuple]:
+    """The solutions of words, those that are not remembered solved now."""
+    got = list(map(get, words))
+    if None in got:
+        got = [x or get(w) or solved(w) for x, w in zip(got, words, strict=True)]
+    return got
+
+
 def merged(lists: list[tuple[float, ...]], n: int) -> tuple[float, ...]:
     """The n - 1 smallest positive sums of at most one loss from each list."""
     lists = heapq.nsmallest(n, (x for x in lists if x))
@@ -268,7 +293,7 @@ def encode(docs: DataFrame, model_path: str = MODEL, n_best: int = N_BEST) -> Da
             got = [lattice.encode(t) for t in texts]
             offsets = np.concatenate([[0], np.cumsum([len(g[0]) for g in got])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([g[0] for g in got])))
-            same = [lattice.decode(g[0]) == t for g, t in zip(got, texts, strict=True)]
+            same = [x == t.encode() for x, t in zip(lattice.decode_all(ids), texts, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array([g[1] for g in got], pa.list_(pa.float64())), pa.array(same, pa.bool_())], names=["doc_id", "ids", "scores", "round_trip"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, scores array<double>, round_trip boolean")
@@ -283,7 +308,8 @@ def decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
     def run(batches):
         lattice = lattice_of(model, N_BEST)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([lattice.decode(x or []) for x in b.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
+            texts = [x.decode("utf-8", "replace") for x in lattice.decode_all(b.column(1).fill_null([]))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
