@@ -131,6 +131,38 @@ def test_pieces():
         assert lattice.decode(lattice.encode(text)[0]) == text
 
 
+def test_pieces_of_all_n_best(spark):
+    with open(pieces.MODEL, "rb") as f:
+        model = f.read()
+    lattice, r = pieces.Lattice(model), random.Random(4)
+
+    def all_ways(text):
+        text, out = "▁" + text.replace(" ", "▁"), []
+
+        def go(i, s, ids):
+            if i == len(text):
+                out.append((s, tuple(ids)))
+            for j in range(i + 1, len(text) + 1):
+                if text[i:j] in lattice.pieces:
+                    k, x = lattice.pieces[text[i:j]]
+                    go(j, s + x, [*ids, k])
+            if i < len(text) and text[i] not in lattice.pieces:
+                go(i + 1, s + lattice.least, [*ids, *(lattice.byte_ids[b] for b in text[i].encode())])
+
+        go(0, 0.0, [])
+        return dict((ids, s) for s, ids in out)
+
+    texts = ["".join(r.choice("theain .,\nñ字") for _ in range(r.randint(1, 10))) for _ in range(60)] + ["the the the", "in\n\n the", "字字in 字", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in pieces.encode(rows).collect():
+        text = texts[row["doc_id"]] or ""
+        ways = [tuple(row["ids"]), *map(tuple, row["others"])]
+        every = all_ways(text) if text else {(): 0.0}
+        assert len(set(ways)) == len(ways) == min(4, len(every))
+        assert [every[w] for w in ways] == row["scores"] == sorted(every.values(), reverse=True)[:4]
+        assert all(lattice.decode(w) == text for w in ways)
+
+
 def test_mixing(spark):
     got = mixing.mix(spark.read.parquet(f"{SF}/documents.parquet"), block=16, shard_words=2000).toPandas()
     assert (got.taken <= 3 * got["size"]).all()

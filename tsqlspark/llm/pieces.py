@@ -8,8 +8,9 @@ of their scores.
 
 Where no piece of the vocabulary holds two neighbouring characters in that order, every
 segmentation has a boundary; the lattice falls apart there into segments.  Segments repeat
-(words), so each is solved once per task and its N best are kept; the N best of a text are
-merged from those of its segments.
+(words), so each is searched once per task, for its best and the loss of its second best.
+The N best of a text differ from its best in at most N - 1 words, those of the least
+losses; these are searched for their N best, and the text's are merged from them.
 
 Spaces become U+2581 and one more is put in front; nothing else is normalised, so decoding
 gives the text back.
@@ -129,34 +130,10 @@ class Lattice:
         return tuple(chain.from_iterable((k,) if k >= 0 else [self.byte_ids[b] for b in seg[-1 - k].encode()] for k in edges))
 
     def first(self, seg: str) -> tuple[bytes, float, float]:
-        """(32-bit ids of the best segmentation, its score, how much worse the second is).
-
-        A second path leaves the best one, so it has an edge that is not on the best one;
-        the best path over such an edge is known from the best scores on both its sides."""
-        best, ending = self.forward(seg)
-        size = len(seg)
-        after = [float("-inf")] * (size + 1)
-        after[size] = 0.0
-        total, loss, on, edges = best[size], float("inf"), size, []
-        for j in range(size, 0, -1):
-            right, chosen = after[j], False
-            if right == float("-inf"):
-                continue
-            for i, k, s in ending[j]:
-                x = right + s
-                if x > after[i]:
-                    after[i] = x
-                x += best[i]
-                if j == on and not chosen and x == total:
-                    chosen = True
-                    edges.append(k)
-                    before = i
-                elif total - x < loss:
-                    loss = total - x
-            if chosen:
-                on = before
-        edges.reverse()
-        return np.array(self._ids(seg, edges), np.int32).tobytes(), total, loss
+        """(32-bit ids of the best segmentation, its score, how much worse the second is): the
+        two that A* pops first."""
+        best, *second = self.search(seg, 2)
+        return np.array(best[1], np.int32).tobytes(), best[0], best[0] - second[0][0] if second else float("inf")
 
     def solved(self, word: str) -> tuple[bytes, float, float]:
         """(ids of the best, its score, loss of the second best)."""
@@ -187,21 +164,36 @@ class Lattice:
         found = self.spaced[word] = self.older.get(word) or self.solved(SPACE + word)
         return found
 
-    def losses(self, word: str) -> tuple[float, ...]:
-        """How much worse than its best the next segmentations of a word are, by A* search."""
-        if word not in self.worse:
-            if len(self.worse) >= CACHE // 8:
-                self.worse.clear()
+    def others(self, word: str) -> list[tuple[float, bytes]]:
+        """(loss against its best, ids) of the next segmentations of a word, by A* search."""
+        out = self.worse.get(word)
+        if out is None:
             parts = [self.search(s, self.n_best) for s in self.segments(word)]
-            self.worse[word] = merged([tuple(p[0][0] - x[0] for x in p[1:]) for p in parts], self.n_best)
-        return self.worse[word]
+            ids = [np.array(p[0][1], np.int32).tobytes() for p in parts]
+            out = []
+            for loss, picks in merged([[p[0][0] - x for x, _ in p] for p in parts], self.n_best)[1:]:
+                way = list(ids)
+                for k, i in picks:
+                    way[k] = np.array(parts[k][i][1], np.int32).tobytes()
+                out.append((loss, b"".join(way)))
+            if len(word) < 64:  # longer ones seldom repeat
+                if len(self.worse) >= CACHE // 8:
+                    self.worse.clear()
+                self.worse[word] = out
+        return out
 
     def encode(self, text: str | None) -> tuple[np.ndarray, list[float]]:
-        """Ids of the best segmentation; scores of the n best, best first.
+        """Ids of the best segmentation; scores of the n best, best first."""
+        ways, scores = self.best(text)
+        return np.frombuffer(ways[0], np.int32), scores
 
-        At most n - 1 words, those of the least losses, differ from the best in the n best."""
+    def best(self, text: str | None) -> tuple[list[bytes], list[float]]:
+        """(32-bit ids, scores) of the n best segmentations, best first.
+
+        At most n - 1 words, those of the least losses (the first of equals), differ from the
+        best in the n best."""
         if not text:
-            return np.empty(0, np.int32), [0.0]
+            return [b""], [0.0]
         ids, score, worse = [], 0.0, []
         for k, part in enumerate(text.split(SPACE)):
             if k:
@@ -226,14 +218,25 @@ class Lattice:
                     of += words
             if got:
                 each, scores, loss = zip(*got, strict=True)
-                ids.extend(each)
-                score += sum(scores)
                 n = min(self.n_best - 1, len(of))
                 if n:
                     loss = np.array(loss)
-                    worse += [(float(loss[i]), of[i] if "  " in part or k or of[i][:1] == "\n" else SPACE + of[i]) for i in (np.argpartition(loss, n - 1)[:n] if n < len(of) else range(n)) if loss[i] < float("inf")]
-        lists = [self.losses(w) for _, w in heapq.nsmallest(self.n_best - 1, worse)]
-        return np.frombuffer(b"".join(ids), np.int32), [score, *(score - d for d in merged(lists, self.n_best))]
+                    near = np.flatnonzero(loss <= np.partition(loss, n - 1)[n - 1])
+                    for i in near[np.argsort(loss[near], kind="stable")[:n]].tolist():
+                        if loss[i] < float("inf"):
+                            worse.append((float(loss[i]), len(ids) + i, of[i] if "  " in part or k or of[i][:1] == "\n" else SPACE + of[i]))
+                ids.extend(each)
+                score += sum(scores)
+        worse = heapq.nsmallest(self.n_best - 1, worse)
+        other = [self.others(w) for _, _, w in worse]
+        ways, scores = [b"".join(ids)], [score]
+        for loss, picks in merged([[0.0, *(x for x, _ in o)] for o in other], self.n_best)[1:]:
+            way = list(ids)
+            for k, i in picks:
+                way[worse[k][1]] = other[k][i - 1][1]
+            ways.append(b"".join(way))
+            scores.append(score - loss)
+        return ways, scores
 
     def decode_all(self, ids: pa.ListArray) -> list[bytes]:
         """UTF-8 of the text of each row, by one take over all rows' ids."""
@@ -271,17 +274,24 @@ def found(get, solved, words: list[str]) -> list[tuple]:
     return got
 
 
-def merged(lists: list[tuple[float, ...]], n: int) -> tuple[float, ...]:
-    """The n - 1 smallest positive sums of at most one loss from each list."""
-    lists = heapq.nsmallest(n, (x for x in lists if x))
-    sums = [0.0]
-    for x in lists:
-        sums = heapq.nsmallest(n, [a + b for a in sums for b in (0.0, *x)])
-    return tuple(sums[1:n])
+def merged(lists: list[list[float]], n: int) -> list[tuple[float, tuple]]:
+    """The n smallest sums of one loss from each list, each list starting with 0 and sorted:
+    (sum, the (list, place) that are not first places)."""
+    sums = [(0.0, ())]
+    for _, k in heapq.nsmallest(n - 1, ((x[1], k) for k, x in enumerate(lists) if len(x) > 1)):
+        sums = heapq.nsmallest(n, [(a + b, (*p, (k, i)) if i else p) for a, p in sums for i, b in enumerate(lists[k])])
+    return sums
+
+
+def _lists(rows: list[bytes]) -> pa.ListArray:
+    """Rows of 32-bit ids as an Arrow column."""
+    offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), np.int32)))
 
 
 def encode(docs: DataFrame, model_path: str = MODEL, n_best: int = N_BEST) -> DataFrame:
-    """doc_id, ids of the best segmentation, scores of the n best, and whether decoding gives the text back."""
+    """doc_id, ids of the best segmentation, scores of the n best, whether decoding gives the
+    text back, and the ids of the second to nth best."""
     small_batches(docs.sparkSession, 500)
     with open(model_path, "rb") as f:
         model = f.read()
@@ -290,13 +300,16 @@ def encode(docs: DataFrame, model_path: str = MODEL, n_best: int = N_BEST) -> Da
         lattice = lattice_of(model, n_best)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
-            got = [lattice.encode(t) for t in texts]
-            offsets = np.concatenate([[0], np.cumsum([len(g[0]) for g in got])]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([g[0] for g in got])))
+            got = [lattice.best(t) for t in texts]
+            ids = _lists([g[0][0] for g in got])
             same = [x == t.encode() for x, t in zip(lattice.decode_all(ids), texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array([g[1] for g in got], pa.list_(pa.float64())), pa.array(same, pa.bool_())], names=["doc_id", "ids", "scores", "round_trip"])
+            counts = np.array([len(g[0]) - 1 for g in got], np.int64)
+            others = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), _lists([x for g in got for x in g[0][1:]]))
+            scores = pa.array([g[1] for g in got], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), ids, scores, pa.array(same, pa.bool_()), others], names=["doc_id", "ids", "scores", "round_trip", "others"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, scores array<double>, round_trip boolean")
+    schema = "doc_id long, ids array<int>, scores array<double>, round_trip boolean, others array<array<int>>"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
@@ -315,13 +328,20 @@ def decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digest of ``encode``: number of tokens, SHA-256 of the ids (32-bit little-endian), scores, round trip."""
+    """Digest of ``encode``: number of tokens, SHA-256 of the ids (32-bit little-endian), scores, round trip,
+    and the SHA-256 of the ids of each of the second to nth best."""
+
+    def shas(lists: pa.ListArray) -> list[str]:
+        values, offsets = lists.values.to_numpy().astype("<i4", copy=False), lists.offsets.to_numpy()
+        return [hashlib.sha256(values[i:j].tobytes()).hexdigest() for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
 
     def digest(batches):
         for b in batches:
-            ids = b.column(1)
-            values, offsets = ids.values.to_numpy(), ids.offsets.to_numpy()
-            sha = [hashlib.sha256(values[i:j].astype("<i4").tobytes()).hexdigest() for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offsets).astype(np.int64)), pa.array(sha, pa.string()), b.column(2), b.column(3)], names=["doc_id", "n_tokens", "ids_sha256", "scores", "round_trip"])
-
-    return encode(table(spark, sf_dir, "documents")).mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, scores array<double>, round_trip boolean")
+            ids, others = b.column(1), b.column(4)
+            offsets = others.offsets.to_numpy()
+            each = pa.ListArray.from_arrays(pa.array(offsets - offsets[0]), pa.array(shas(others.values.slice(offsets[0], offsets[-1] - offsets[0])), pa.string()))
+            columns = [b.column(0), pa.array(np.diff(ids.offsets.to_numpy()).astype(np.int64)), pa.array(shas(ids), pa.string()), b.column(2), b.column(3), each]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "scores", "round_trip", "others_sha256"])
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, scores array<double>, round_trip boolean, others_sha256 array<string>"
+    return encode(table(spark, sf_dir, "documents")).mapInArrow(digest, schema)
