@@ -68,6 +68,12 @@ def test_small_tries_spill_and_agree(odd):
     assert a == b
 
 
+def test_keep_one_of_each_group(spark):
+    rows = [(None, "a b"), (None, "ab"), (None, "c d"), (None, "c d"), (1, "e f"), (1, "g h"), (1, "g h "), (2, "ef"), (None, "gh"), (3, None), (None, " "), (4, "ab"), (5, "i")]
+    kept = exact.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, [(None, "a b"), (None, "c d"), (1, "e f"), (1, "g h "), (None, " "), (5, "i")]))
+
+
 def test_trie_merges():
     t = exact.PatriciaTrie()
     for k, o in ((b"abc", (3, 5, 1)), (b"abd", (3, 2, 1)), (b"ab", (2, 9, 1)), (b"", (0, 1, 1)), (b"abc", (4, 7, 1)), (b"abc", (4, 6, 1))):

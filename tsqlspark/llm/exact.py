@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.types import StringType
 
 from ._common import SPACE, fresh, small_batches, table
 
@@ -223,13 +224,19 @@ def exact_dedup(docs: DataFrame, trie_bytes: int = TRIE_BYTES) -> DataFrame:
     )
 
 
+@F.arrow_udf(StringType())
+def _fingerprint(texts: pa.Array) -> pa.Array:
+    return pa.array([hashlib.sha256(normalised(t.as_py())).hexdigest() for t in texts], pa.string())
+
+
 def keep_one(docs: DataFrame, trie_bytes: int = TRIE_BYTES) -> DataFrame:
-    """``docs`` with one row of each group of equal texts, all columns unchanged."""
-    own, nth = fresh(docs, "_keep_id"), fresh(docs, "_nth")
-    kept = exact_dedup(docs, trie_bytes).filter("kept").select(F.col("doc_id").alias(own)).distinct()
-    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(own))).drop(own)
-    first = Window.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last())
-    return joined.withColumn(nth, F.row_number().over(first)).filter(F.col(nth) == 1).drop(nth)
+    """``docs`` with one row of each group of equal texts, all columns unchanged: of its
+    owner's rows the longest, then the first by text."""
+    own, owned, sha, nth = (fresh(docs, n) for n in ("_keep_id", "_keep_sha", "_sha", "_nth"))
+    kept = exact_dedup(docs, trie_bytes).filter("kept").select(F.col("text_sha256").alias(owned), F.col("doc_id").alias(own)).distinct()
+    joined = docs.withColumn(sha, _fingerprint("text")).join(kept, (F.col(sha) == F.col(owned)) & F.col("doc_id").eqNullSafe(F.col(own))).drop(own, owned)
+    first = Window.partitionBy(sha).orderBy(F.length("text").desc_nulls_last(), "text")
+    return joined.withColumn(nth, F.row_number().over(first)).filter(F.col(nth) == 1).drop(nth, sha)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
