@@ -93,6 +93,14 @@ def test_personal_data():
     assert pii.find([""], crf) == [([], [])]
 
 
+def test_features_of_long_and_odd_tokens():
+    a, b = "https://x.org/" + "a" * 56, "http://y.org/u@" + "1234567890" * 5 + "12345"
+    graph = pii.Graph()
+    words = [a + "1", b + "z", "x" * 1200 + "7", "@" + "9" * 1100, "1.2.3.²", "1.2.3.a"]
+    graph.add(0, " ".join(words), [], {})
+    assert len(words[0]) == len(words[1]) and [x.tolist() for x in graph.x] == [pii.features(w).tolist() for w in words]
+
+
 def test_html():
     model = html.trained()
     pages = list(html.training_pages(60, seed=77))

@@ -39,6 +39,7 @@ _IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+_LETTER = re.compile(r"[A-Za-z]")
 _WORD = re.compile(WORD)
 
 
@@ -135,12 +136,15 @@ class Graph:
             while at < len(base) and base[at][2] <= a and (at + 1 < len(base)):
                 at += 1
             kind = next((kd + 1 for s, kd, e in base[max(0, at - 2) : at + 4] if s < b and e > a), 0)
-            shape = re.sub(r"[^\W\d_]", "a", t) if len(t) < 64 else t[:0] + "long" + str(min(len(t), 999))
-            x = shapes.get(shape)
-            if x is None:
+            if len(t) < 64:  # one letter stands for all, which is all that features() tells of them
+                shape = _LETTER.sub("a", t) if t.isascii() else "".join("a" if c.isalpha() else c for c in t)
+                x = shapes.get(shape)
+                if x is None:
+                    x = features(t)
+                    if len(shapes) < 20_000:
+                        shapes[shape] = x
+            else:
                 x = features(t)
-                if len(shapes) < 20_000:
-                    shapes[shape] = x
             self.text.append(k)
             self.span.append((a, b))
             self.x.append(x)
