@@ -223,6 +223,23 @@ def test_jaccard(spark):
     assert got == {i: (len(sets[i]), find(i)) for i in ids}
 
 
+@pytest.mark.parametrize("block", [1024, 7])
+def test_all_links_are_counted(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK_TEXTS", block)
+    r, base, rows = random.Random(6), [f"w{i}" for i in range(160)], []
+    for i in range(40):
+        w = list(base)
+        for _ in range(r.choice([0, 1, 1, 2, 3])):
+            w[r.randrange(160)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(100, "p q r s t u v w x y z"), (101, "P q r s t u v w x y z"), (102, None), (5, rows[5][1]), (None, rows[5][1])]
+    sets = {i: frozenset(jaccard.shingles(t, 4)) for i, t in rows if i is not None}
+    classes = set(sets.values()) - {frozenset()}
+    want = {i: sum(x != s and 100 * len(x & s) >= 85 * len(x | s) for x in classes) if s else 0 for i, s in sets.items()}
+    got = jaccard.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x["doc_id"]: x["n_links"] for x in got} == want | {None: 0} and max(want.values()) > 15
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
 

@@ -23,6 +23,10 @@ with each other, unless the shingles that only one member of the open keys has a
 leave too few in common: every other candidate pair is either verified on the texts' shingles
 themselves or already joined, and no group is written out as all its pairs.
 
+Links lie within components, so all of them are counted there at last: the members of each
+component are compared with each other, a large component in blocks of which any two meet
+in one task, by products of matrices of texts and shingles (the shingles themselves).
+
 Defined results: a null, empty or wordless text has an empty set and links with nothing;
 a null doc_id links with nothing and has no component; repeated rows each get a row; an
 empty table gives no rows.  Only doc_id and text are read.
@@ -43,6 +47,9 @@ LINEAR_ROUNDS = 2
 #: Keys of a text that are looked at to tell whether a pair has been met before; others
 #: only cost a repeated pair.
 FIRST_KEYS = 32
+#: Texts, and shingles of all of them, in a block of a component when its links are counted.
+BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 1 << 19
+_COLUMNS = 4096
 _CHUNK = 1 << 21
 _C1, _C2, _C3 = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
 
@@ -229,6 +236,91 @@ def _verify(k: int, percent: int):
     return run
 
 
+def _degrees(left: list[tuple[int, set]], right: list[tuple[int, set]] | None, percent: int) -> list[tuple[int, int]]:
+    """(document, links) for documents and their sets, sorted by document: links of ``left``
+    with ``right`` for both, or those among ``left``.  Repeated documents count once."""
+    every = left + (right or [])
+    if len(every) == 2:  # most components
+        (x, a), (y, b) = every
+        both = len(a & b)
+        return [(x, 1), (y, 1)] if x != y and 100 * both >= percent * (len(a) + len(b) - both) else []
+    number: dict[bytes, int] = {}
+    own = [np.array([number.setdefault(h, len(number)) for h in s], np.int64) for _, s in every]
+    # shingles of one text only are in no intersection
+    often = np.bincount(np.concatenate(own), minlength=len(number)) > 1
+    column = np.cumsum(often) - 1
+    size = np.array([len(s) for _, s in every], np.int64)
+    where = np.repeat(np.arange(len(every)), size)
+    at = np.concatenate(own)
+    where, at = where[often[at]], column[at[often[at]]]
+    order = np.argsort(at, kind="stable")
+    where, at, n = where[order], at[order], len(left)
+    both = np.zeros((n, len(every) - n if right else n), np.float32)
+    for low in range(0, int(often.sum()), _COLUMNS):
+        i, j = np.searchsorted(at, [low, low + _COLUMNS])
+        dense = np.zeros((len(every), _COLUMNS if len(every) > 64 else int(at[j - 1]) + 1 - low), np.float32)
+        dense[where[i:j], at[i:j] - low] = 1
+        both += dense[:n] @ dense[n if right else 0 :].T
+    both = both.astype(np.int64)
+    link = 100 * both >= percent * (size[:n, None] + size[None, n if right else 0 :] - both)
+    ids = np.array([x for x, _ in every], np.int64)
+    (a, at_a), (b, at_b) = (np.unique(x, return_index=True) for x in (ids[:n], ids[n if right else 0 :]))
+    link = np.logical_or.reduceat(np.logical_or.reduceat(link, at_a, axis=0), at_b, axis=1)
+    if not right:
+        np.fill_diagonal(link, False)
+        return list(zip(a.tolist(), link.sum(1).tolist(), strict=True))
+    return [*zip(a.tolist(), link.sum(1).tolist(), strict=True), *zip(b.tolist(), link.sum(0).tolist(), strict=True)]
+
+
+def _counted(k: int, percent: int):
+    """Links of each document of a unit; rows are sorted by unit, side and document."""
+
+    def run(batches):
+        def rows():
+            unit, sides, last = None, ([], []), None
+            for b in batches:
+                for comp, i, j, side, doc, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if (comp, i, j) != unit:
+                        if unit:
+                            yield from _degrees(sides[0], sides[1] if unit[1] != unit[2] else None, percent) if sides[0] and (sides[1] or unit[1] == unit[2]) else []
+                        unit, sides, last = (comp, i, j), ([], []), None
+                    if (doc, text) != last:
+                        sides[side].append((doc, shingles(text, k)))
+                        last = (doc, text)
+            if unit:
+                yield from _degrees(sides[0], sides[1] if unit[1] != unit[2] else None, percent) if sides[0] and (sides[1] or unit[1] == unit[2]) else []
+
+        held = []
+        for row in rows():
+            held.append(row)
+            if len(held) >= 8192:
+                yield _pairs(held)
+                held = []
+        if held:
+            yield _pairs(held)
+
+    return run
+
+
+def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["d_id", "n_links"])
+
+
+def degrees(labels: DataFrame, sized: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
+    """(d_id, n_links): all links of each document of ``labels``.  Links lie within components;
+    a component is cut into blocks by a hash of the document, and each two of its blocks (or
+    one block with itself) are compared in one place, where only counts leave."""
+    own = stored(labels.join(sized.groupBy(F.col("doc_id").alias("id")).agg(F.max("n").alias("n")), "id"))
+    sizes = own.groupBy("label").agg(F.count("*").alias("c"), F.sum("n").alias("s")).filter("c > 1")
+    sizes = sizes.select("label", F.ceil(F.greatest(F.col("c") / BLOCK_TEXTS, F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    at = own.join(sizes, "label").withColumn("at", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    units = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least("at", x).alias("i"), F.greatest("at", x).alias("j"), (x < F.col("at")).cast("int").alias("side")))
+    dealt = texts.join(at.select(F.col("id").alias("doc_id"), "label", units.alias("units")), "doc_id").select("label", F.explode("units").alias("unit"), "doc_id", "text")
+    unit = ["label", "i", "j"]
+    rows = dealt.select("label", "unit.i", "unit.j", "unit.side", "doc_id", "text").repartition(*unit).sortWithinPartitions(*unit, "side", "doc_id", "text")
+    return rows.mapInArrow(_counted(k, percent), "d_id long, n_links long").groupBy("d_id").agg(F.sum("n_links").alias("n_links"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, label): the smallest id reachable from each id of ``links`` (a, b), by label
     propagation with pointer jumping; each round is written and read again."""
@@ -244,8 +336,9 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def linked(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, rep (smallest document with an equal set), component_id, n_links (verified links found of the class)."""
+def linked(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, count: bool = True) -> DataFrame:
+    """doc_id, n_shingles, class_id (smallest document with an equal set), component_id, and with
+    ``count`` n_links: how many other classes the document's class links with."""
     small_batches(docs.sparkSession)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     wide = stored(narrow.mapInArrow(_index(k, percent), _INDEX).withColumn("row", F.monotonically_increasing_id()))
@@ -289,7 +382,7 @@ def linked(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFra
     together = stored(members.join(first, "key").select("doc_id", "n", "a", "n_a").distinct())
     tried = together.filter((F.col("a") != F.col("doc_id")) & fits).select("a", F.col("doc_id").alias("b")).distinct()
     # whole texts are shuffled once; only those of documents that share a key go on
-    texts = stored(narrow.join(together.select("doc_id").distinct(), "doc_id"))
+    texts = shared_texts = stored(narrow.join(together.select("doc_id").distinct(), "doc_id"))
     links = verified(tried, texts)
     labels = components(links)
     # shingles that no other member of an open key has are in no intersection
@@ -320,24 +413,27 @@ def linked(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFra
     apart = (F.col("comp") != F.col("comp_a")) & fits & ~F.arrays_overlap("first", "first_a")
     cross = ordered(minor.join(some, "key").filter(apart)).join(tried, ["a", "b"], "left_anti")
     more = verified(stored(cross), texts)
-    every = links.union(more)
     if not more.isEmpty():
-        labels = components(every)
-    degree = every.union(every.select("b", "a")).toDF("d_id", "other").groupBy("d_id").agg(F.count("*").alias("n_links"))
-    named = classes.join(labels.withColumnRenamed("id", "l_id"), F.col("rep") == F.col("l_id"), "left").join(degree, F.col("rep") == F.col("d_id"), "left")
-    named = named.select("n", "p1", "p2", "rep", F.coalesce("label", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        labels = components(links.union(more))
+    named = classes.join(labels.withColumnRenamed("id", "l_id"), F.col("rep") == F.col("l_id"), "left")
+    named = named.select("n", "p1", "p2", "rep", F.coalesce("label", "rep").alias("component_id"))
+    if count:
+        # 4. all links, now that the components are known
+        degree = degrees(labels, reps.select("doc_id", "n"), shared_texts, percent, k)
+        named = named.join(degree, F.col("rep") == F.col("d_id"), "left").drop("d_id")
     out = sets.join(named, ["n", "p1", "p2"], "left")
     alone = F.col("doc_id").isNull() | F.col("rep").isNull()
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("rep")).alias("class_id"),
-        F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        *([F.when(alone, 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links")] if count else []),
     )
 
 
 def keep_first(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
     """``docs`` with the smallest document of each component, and those without doc_id."""
     own = fresh(docs, "_keep")
-    kept = linked(docs, percent, k).filter("doc_id = component_id").select(F.col("doc_id").alias(own)).distinct()
+    kept = linked(docs, percent, k, count=False).filter("doc_id = component_id").select(F.col("doc_id").alias(own)).distinct()
     return docs.join(kept, F.col("doc_id") == F.col(own), "left").filter(F.col("doc_id").isNull() | F.col(own).isNotNull()).drop(own)
 
 
