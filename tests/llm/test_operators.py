@@ -113,8 +113,35 @@ def test_html():
 def test_toxicity_held_out(spark):
     got = toxicity.query(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").filter("held_out").toPandas()
     bad, good = got[got.toxic == 1].score.to_numpy(), got[got.toxic == 0].score.to_numpy()
-    assert (bad[:, None] > good[None]).mean() > 0.85
-    assert (good >= 0.5).mean() < 0.03 and (bad >= 0.5).mean() > 0.45
+    assert (bad[:, None] > good[None]).mean() > 0.9
+    assert (good < 0.5).mean() > 0.88 and (bad >= 0.5).mean() > 0.8
+
+
+def test_toxicity_fitted_on_odd_rows(spark, odd, none):
+    rude = [f"alpha beta {w} gamma delta" for w in ("grumblewort", "snarkfizzle") for _ in range(30)]
+    kind = [f"alpha beta {w} gamma delta" for w in ("sunshine", "meadow", "river", "garden") for _ in range(30)]
+    model = toxicity.fit([*rude, *kind, None, ""], [1] * 60 + [0] * 122)
+    score = model.scorer()
+    assert model.toxic and (score(rude) >= 0.5).all() and (score(kind) < 0.5).all() and score(["", None])[0] < 0.5
+    assert score([]).tolist() == [] and len(score(["x" * 3_000_000, " ".join(rude * 1000)])) == 2
+    got = {(r["doc_id"], r["score"]) for r in toxicity.toxicity(odd, model).collect()}
+    assert len(got) == odd.select("doc_id").distinct().count() and all(0 <= x <= 1 for _, x in got)
+    assert toxicity.toxicity(none, model).count() == 0 == toxicity.drop_toxic(none, model).count()
+    want = sorted(repr(tuple(r)) for r in odd.collect() if score([r["text"]])[0] < 0.5)
+    assert sorted(repr(tuple(r)) for r in toxicity.drop_toxic(odd, model).collect()) == want
+
+
+def test_toxicity_sample_is_bounded_by_rows(spark):
+    docs = spark.createDataFrame([(1, f"grumble {i} " * 9) for i in range(50)] + [(2, f"meadow {i}") for i in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    seen = []
+    fit = toxicity.fit
+    toxicity.fit = lambda rows, kinds, share: seen.append((len(rows), sum(kinds))) or fit(rows, kinds, share)
+    try:
+        toxicity.train(docs, labels, max_toxic=7, max_ordinary=9)
+    finally:
+        toxicity.fit = fit
+    assert seen == [(16, 7)]
 
 
 def _all_segmentations(lattice, text, n):
