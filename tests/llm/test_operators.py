@@ -204,6 +204,23 @@ def test_pieces_of_all_n_best(spark):
         assert all(lattice.decode(w) == text for w in ways)
 
 
+def test_pieces_forgotten_and_decoded(spark, odd, none, monkeypatch):
+    with open(pieces.MODEL, "rb") as f:
+        model = f.read()
+    texts = [r["text"] or "" for r in odd.collect()] + ["▁a b▁▁ c\n\n  ▁ x", "\n a\n", "  ", "▁", " ▁ ", "a\n\n\nb  c\n d"]
+    want = [pieces.Lattice(model).encode(t) for t in texts]
+    monkeypatch.setattr(pieces, "CACHE", 60)
+    small = pieces.Lattice(model)
+    for _ in range(2):
+        for t, (ids, scores) in zip(texts, want, strict=True):
+            got = small.encode(t)
+            assert got[0].tolist() == ids.tolist() and got[1] == scores and small.decode(ids) == t
+    coded = pieces.encode(odd)
+    assert sorted(map(repr, pieces.decode(coded).collect())) == sorted(repr(r) for r in odd.selectExpr("doc_id", "coalesce(text, '') AS text").collect())
+    assert pieces.decode(coded.limit(1).selectExpr("doc_id", "CAST(NULL AS array<int>) AS ids")).collect()[0]["text"] == ""
+    assert pieces.decode(pieces.encode(none)).count() == 0
+
+
 def test_mixing(spark):
     got = mixing.mix(spark.read.parquet(f"{SF}/documents.parquet"), block=16, shard_words=2000).toPandas()
     assert (got.taken <= 3 * got["size"]).all()

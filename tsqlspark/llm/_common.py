@@ -7,6 +7,7 @@ gives a text's words as UTF-8 bytes.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -99,6 +100,16 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def tidy() -> None:
+    """Gives memory that a Python worker no longer needs back to the machine: workers live on
+    after a task, and executors count them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def text_of(name: str = "text"):
     """A null text counts as empty."""
     return F.coalesce(F.col(name), F.lit("")).alias(name)

@@ -8,9 +8,11 @@ of their scores.
 
 Where no piece of the vocabulary holds two neighbouring characters in that order, every
 segmentation has a boundary; the lattice falls apart there into segments.  Segments repeat
-(words), so each is searched once per task, for its best and the loss of its second best.
-The N best of a text differ from its best in at most N - 1 words, those of the least
-losses; these are searched for their N best, and the text's are merged from them.
+(words): those of some megabytes of texts are numbered by Arrow's dictionary encoding,
+each distinct one is searched once, for its best and the loss of its second best, and the
+texts' ids are gathered from the words' by index arithmetic.  The N best of a text differ
+from its best in at most N - 1 words, those of the least losses; these are searched for
+their N best, and the text's are merged from them.
 
 Spaces become U+2581 and one more is put in front; nothing else is normalised, so decoding
 gives the text back.
@@ -24,7 +26,6 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import re
 from itertools import chain
 
 import numpy as np
@@ -32,13 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import small_batches, table
+from ._common import small_batches, table, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
-#: Segments that a task remembers; when there are more it starts afresh.  Of words, as many
-#: more that were remembered before are kept.
+#: Words whose solution a worker remembers; when there are more, those that came once are forgotten.
 CACHE = 400_000
+#: Bytes of texts whose words are solved at a time.
+GROUP_BYTES = 2 << 20
 _LATTICES: dict = {}
 SPACE = "▁"
 
@@ -66,11 +68,13 @@ class Lattice:
         #: Each prefix of a piece: its (id, score) where it is a piece itself.
         self.table = {p[:k]: None for p in self.pieces for k in range(1, len(p) + 1)} | self.pieces
         self.joined = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
-        self.cache: dict[str, tuple] = {}
-        self.spaced: dict[str, tuple] = {}
-        self.older: dict[str, tuple] = {}
-        self.known: dict[str, tuple] = {}
-        self.worse: dict[str, tuple] = {}
+        # of two bytes, whether a piece may hold them side by side; unknown unless both are ASCII
+        self.beside = np.ones((256, 256), bool)
+        for a in range(128):
+            for b in range(128):
+                self.beside[a, b] = (chr(a) + chr(b)).replace(" ", SPACE) in self.joined
+        self.words = Words()
+        self.worse: dict[bytes, list] = {}
         self.vocabulary = None
 
     def segments(self, text: str) -> list[str]:
@@ -127,116 +131,124 @@ class Lattice:
         return found
 
     def _ids(self, seg: str, edges: list[int]) -> tuple[int, ...]:
+        if min(edges) >= 0:
+            return tuple(edges)
         return tuple(chain.from_iterable((k,) if k >= 0 else [self.byte_ids[b] for b in seg[-1 - k].encode()] for k in edges))
 
-    def first(self, seg: str) -> tuple[bytes, float, float]:
-        """(32-bit ids of the best segmentation, its score, how much worse the second is): the
-        two that A* pops first."""
-        best, *second = self.search(seg, 2)
-        return np.array(best[1], np.int32).tobytes(), best[0], best[0] - second[0][0] if second else float("inf")
-
-    def solved(self, word: str) -> tuple[bytes, float, float]:
-        """(ids of the best, its score, loss of the second best)."""
-        ids, score, loss = b"", 0.0, float("inf")
-        parts = self.segments(word)
-        if len(parts) == 1 and word[0] == SPACE and word[1:2] != SPACE:
-            return self.first(word)  # remembered as the word
-        for s in parts:
-            got = self.known.get(s)
-            if got is None:
-                if len(self.known) >= CACHE:
-                    self.known.clear()
-                got = self.known[s] = self.first(s)
-            ids += got[0]
-            score += got[1]
-            loss = min(loss, got[2])
-        found = (ids, score, loss)
-        if word[0] != SPACE or word[1:2] == SPACE:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            self.cache[word] = found
-        return found
-
-    def spaced_word(self, word: str) -> tuple[bytes, float, float]:
-        if len(self.spaced) >= CACHE:
-            self.older = dict(self.spaced)
-            self.spaced.clear()
-        found = self.spaced[word] = self.older.get(word) or self.solved(SPACE + word)
-        return found
-
-    def others(self, word: str) -> list[tuple[float, bytes]]:
+    def two(self, seg: str) -> tuple[list[int], float, float]:
+        """(ids of the best segmentation, its score, how much worse the second is): the two that
+        the search pops first.  As the heuristics are exact, the nodes of one best path can be
+        popped without a queue, and of the others that were pushed the largest is the second."""
+        best, ending = self.forward(seg)
+        at, done, second, edges = len(seg), 0.0, -_NEVER, []
+        while at:
+            top = -_NEVER
+            for i, k, s in ending[at]:
+                f = best[i] + s
+                if f > top:
+                    if top + done > second:
+                        second = top + done
+                    top, take = f, (i, k, s)
+                elif f + done > second:
+                    second = f + done
+            at = take[0]
+            done += take[2]
+            edges.append(take[1])
+        edges.reverse()
+        return self._ids(seg, edges), best[-1], best[-1] - second
+
+    def number(self, word: bytes) -> int:
+        """The place of a word's solution in ``words``; solved now where it is not remembered."""
+        at = self.words.number.get(word)
+        if at is None:
+            if word == _LITERAL:  # in the text itself
+                return self.words.add(word, [self.byte_ids[b] for b in word], self.least, _NEVER)
+            parts = self.segments(word.decode().replace(" ", SPACE))
+            if len(parts) == 1:
+                return self.words.add(word, *self.two(parts[0]))
+            own, w = [self.number(p.replace(SPACE, " ").encode()) for p in parts], self.words
+            ids = np.concatenate([w.flat[w.start[i] : w.start[i] + w.count[i]] for i in own])
+            return w.add(word, ids, float(sum(w.score[i] for i in own)), float(min(w.loss[i] for i in own)))
+        return at
+
+    def others(self, word: bytes) -> list[tuple[float, np.ndarray]]:
         """(loss against its best, ids) of the next segmentations of a word, by A* search."""
         out = self.worse.get(word)
         if out is None:
-            parts = [self.search(s, self.n_best) for s in self.segments(word)]
-            ids = [np.array(p[0][1], np.int32).tobytes() for p in parts]
+            parts = []
+            for s in self.segments(word.decode().replace(" ", SPACE)):
+                found, best, score, _ = self.search(s, self.n_best), *self.two(s)
+                parts.append([(score, tuple(best)), *(p for p in found if p[1] != tuple(best))][: len(found)])  # of equals the one that is taken first
+            ids = [p[0][1] for p in parts]
             out = []
             for loss, picks in merged([[p[0][0] - x for x, _ in p] for p in parts], self.n_best)[1:]:
                 way = list(ids)
                 for k, i in picks:
-                    way[k] = np.array(parts[k][i][1], np.int32).tobytes()
-                out.append((loss, b"".join(way)))
+                    way[k] = parts[k][i][1]
+                out.append((loss, np.array(list(chain.from_iterable(way)), np.int32)))
             if len(word) < 64:  # longer ones seldom repeat
                 if len(self.worse) >= CACHE // 8:
                     self.worse.clear()
                 self.worse[word] = out
         return out
 
+    def solve(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[list[np.ndarray]], list[list[float]]]:
+        """(ids of all texts' best segmentations, their bounds by text, ids of the next ones and
+        scores of all n best for each text).
+
+        At most n - 1 words of a text, those of the least losses (the first of equals), differ
+        from the best in its n best."""
+        bounds = np.zeros(len(texts) + 1, np.int64)
+        others: list[list[np.ndarray]] = [[] for _ in texts]
+        scores: list[list[float]] = [[0.0] for _ in texts]
+        some = [i for i, t in enumerate(texts) if t]
+        if not some:
+            return np.empty(0, np.int32), bounds, others, scores
+        if len(self.words.number) >= CACHE:
+            self.words = self.words.frequent(CACHE // 2)
+        data = b"".join([b" " + texts[i] for i in some])
+        first = np.cumsum([0] + [len(texts[i]) + 1 for i in some])
+        start = word_starts(np.frombuffer(data, np.uint8), first[:-1], self.beside)
+        array = pa.BinaryArray.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(np.append(start, len(data)).astype(np.int32)), pa.py_buffer(data)])
+        coded = array.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        number = np.fromiter(map(self.number, distinct), np.int64, len(distinct))
+        which, w = coded.indices.to_numpy(), self.words
+        entry = number[which]
+        w.seen[number] += 1
+        count, loss = w.count[entry], w.loss[entry]
+        at = np.concatenate([[0], np.cumsum(count)])
+        ids = w.flat[np.arange(at[-1]) + np.repeat(w.start[entry] - at[:-1], count)]
+        of = np.searchsorted(start, first)
+        total = np.add.reduceat(w.score[entry], of[:-1])
+        for k, i in enumerate(some):
+            a, b = int(of[k]), int(of[k + 1])
+            bounds[i + 1] = at[b] - at[a]
+            own, n = loss[a:b], min(self.n_best - 1, b - a)
+            worse = []
+            if n:
+                near = np.flatnonzero(own <= (np.partition(own, n - 1)[n - 1] if b - a > n else _NEVER))
+                worse = [a + int(j) for j in near[np.argsort(own[near], kind="stable")[:n]] if own[j] < _NEVER]
+            other = [self.others(distinct[which[j]]) for j in worse]
+            scores[i] = [float(total[k])]
+            for lost, picks in merged([[0.0, *(x for x, _ in o)] for o in other], self.n_best)[1:]:
+                way, done = [], int(at[a])
+                for j, new in sorted((worse[q], other[q][r - 1][1]) for q, r in picks):
+                    way += [ids[done : at[j]], new]
+                    done = int(at[j + 1])
+                others[i].append(np.concatenate([*way, ids[done : at[b]]]))
+                scores[i].append(float(total[k]) - lost)
+        return ids, np.cumsum(bounds), others, scores
+
+    def best(self, text: str | None) -> tuple[list[np.ndarray], list[float]]:
+        """(ids, scores) of the n best segmentations, best first."""
+        ids, _, others, scores = self.solve([(text or "").encode()])
+        return [ids, *others[0]], scores[0]
+
     def encode(self, text: str | None) -> tuple[np.ndarray, list[float]]:
         """Ids of the best segmentation; scores of the n best, best first."""
         ways, scores = self.best(text)
-        return np.frombuffer(ways[0], np.int32), scores
-
-    def best(self, text: str | None) -> tuple[list[bytes], list[float]]:
-        """(32-bit ids, scores) of the n best segmentations, best first.
-
-        At most n - 1 words, those of the least losses (the first of equals), differ from the
-        best in the n best."""
-        if not text:
-            return [b""], [0.0]
-        ids, score, worse = [], 0.0, []
-        for k, part in enumerate(text.split(SPACE)):
-            if k:
-                ids.append(np.array([self.byte_ids[b] for b in SPACE.encode()], np.int32).tobytes())
-                score += self.least
-            else:
-                part = " " + part
-            if "  " in part or k:
-                get, solved = self.cache.get, self.solved
-                of = _WORDS.findall(part.replace(" ", SPACE))
-                got = found(get, solved, of)
-            else:  # single spaces: a word is known by what follows its space or its newline
-                get, solved, got, of = self.spaced.get, self.spaced_word, [], []
-                for i, line in enumerate(part[1:].split("\n")):
-                    words = line.split(" ")
-                    if i:
-                        first = "\n" + words[0]
-                        got.append(self.cache.get(first) or self.solved(first))
-                        of.append(first)
-                        del words[0]
-                    got += found(get, solved, words)
-                    of += words
-            if got:
-                each, scores, loss = zip(*got, strict=True)
-                n = min(self.n_best - 1, len(of))
-                if n:
-                    loss = np.array(loss)
-                    near = np.flatnonzero(loss <= np.partition(loss, n - 1)[n - 1])
-                    for i in near[np.argsort(loss[near], kind="stable")[:n]].tolist():
-                        if loss[i] < float("inf"):
-                            worse.append((float(loss[i]), len(ids) + i, of[i] if "  " in part or k or of[i][:1] == "\n" else SPACE + of[i]))
-                ids.extend(each)
-                score += sum(scores)
-        worse = heapq.nsmallest(self.n_best - 1, worse)
-        other = [self.others(w) for _, _, w in worse]
-        ways, scores = [b"".join(ids)], [score]
-        for loss, picks in merged([[0.0, *(x for x, _ in o)] for o in other], self.n_best)[1:]:
-            way = list(ids)
-            for k, i in picks:
-                way[worse[k][1]] = other[k][i - 1][1]
-            ways.append(b"".join(way))
-            scores.append(score - loss)
-        return ways, scores
+        return ways[0], scores
 
     def decode_all(self, ids: pa.ListArray) -> list[bytes]:
         """UTF-8 of the text of each row, by one take over all rows' ids."""
@@ -246,15 +258,59 @@ class Lattice:
         taken = self.vocabulary.take(ids.values.slice(offsets[0], offsets[-1] - offsets[0]))
         at = np.frombuffer(taken.buffers()[1], np.int64)[offsets - offsets[0] + taken.offset].tolist()
         data = memoryview(taken.buffers()[2] or b"")
-        return [bytes(data[i + 1 : j]) for i, j in zip(at[:-1], at[1:], strict=True)]
+        return [bytes(data[i + 1 : j]) if j > i else b"" for i, j in zip(at[:-1], at[1:], strict=True)]
 
     def decode(self, ids) -> str:
         got = self.decode_all(pa.array([ids], pa.list_(pa.int32())))
         return got[0].decode("utf-8", "replace")
 
 
-#: A word of the lattice: a run of spaces with what follows, a newline, or what stands without a space.
-_WORDS = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n+|[^{SPACE}\n]+")
+class Words:
+    """Solved words: ids, score of the best segmentation and loss of the second best, in growing arrays."""
+
+    def __init__(self):
+        self.number: dict[bytes, int] = {}
+        self.flat, self.used = np.empty(1 << 16, np.int32), 0
+        self.start, self.count = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.score, self.loss = np.empty(1 << 14), np.empty(1 << 14)
+        self.seen = np.zeros(1 << 14, np.int64)
+
+    def add(self, word: bytes, ids, score: float, loss: float) -> int:
+        i, n = len(self.number), len(ids)
+        if self.used + n > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty(max(n, len(self.flat)), np.int32)])
+        if i == len(self.start):
+            self.start, self.count, self.score, self.loss, self.seen = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count, self.score, self.loss, self.seen))
+        self.flat[self.used : self.used + n] = ids
+        self.start[i], self.count[i], self.score[i], self.loss[i] = self.used, n, score, loss
+        self.used += n
+        self.number[word] = i
+        return i
+
+    def frequent(self, most: int) -> Words:
+        """The words that were in two groups of texts or more; none if these are more than ``most``."""
+        kept, out = [(x, i) for x, i in self.number.items() if self.seen[i] > 1], Words()
+        for x, i in kept if len(kept) <= most else []:
+            out.add(x, self.flat[self.start[i] : self.start[i] + self.count[i]], self.score[i], self.loss[i])
+        return out
+
+
+_NEVER = float("inf")
+_LITERAL = SPACE.encode()
+
+
+def word_starts(raw: np.ndarray, first: np.ndarray, beside: np.ndarray) -> np.ndarray:
+    """Where the words of the lattice start: a run of spaces with what follows, a run of
+    newlines, what stands without a space, a literal U+2581, and what no piece joins to the
+    byte before; ``first`` are texts' starts."""
+    space, line = raw == 32, raw == 10
+    start = np.zeros(len(raw) + 3, bool)
+    start[first] = True
+    start[1 : len(raw)] |= (space[1:] & ~space[:-1]) | (line[1:] != line[:-1]) | ~beside[raw[:-1], raw[1:]]
+    literal = np.flatnonzero((raw[:-2] == _LITERAL[0]) & (raw[1:-1] == _LITERAL[1]) & (raw[2:] == _LITERAL[2]))
+    start[literal] = True
+    start[literal + 3] = True
+    return np.flatnonzero(start[: len(raw)])
 
 
 def lattice_of(model: bytes, n_best: int) -> Lattice:
@@ -266,14 +322,6 @@ def lattice_of(model: bytes, n_best: int) -> Lattice:
     return _LATTICES[key]
 
 
-def found(get, solved, words: list[str]) -> list[tuple]:
-    """The solutions of words, those that are not remembered solved now."""
-    got = list(map(get, words))
-    if None in got:
-        got = [x or get(w) or solved(w) for x, w in zip(got, words, strict=True)]
-    return got
-
-
 def merged(lists: list[list[float]], n: int) -> list[tuple[float, tuple]]:
     """The n smallest sums of one loss from each list, each list starting with 0 and sorted:
     (sum, the (list, place) that are not first places)."""
@@ -283,30 +331,39 @@ def merged(lists: list[list[float]], n: int) -> list[tuple[float, tuple]]:
     return sums
 
 
-def _lists(rows: list[bytes]) -> pa.ListArray:
-    """Rows of 32-bit ids as an Arrow column."""
-    offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in rows])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), np.int32)))
+def _lists(values: np.ndarray, counts) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)
+
+
+def _groups(texts: list[bytes]):
+    at, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= GROUP_BYTES or i == len(texts) - 1:
+            yield at, i + 1
+            at, size = i + 1, 0
 
 
 def encode(docs: DataFrame, model_path: str = MODEL, n_best: int = N_BEST) -> DataFrame:
     """doc_id, ids of the best segmentation, scores of the n best, whether decoding gives the
     text back, and the ids of the second to nth best."""
-    small_batches(docs.sparkSession, 500)
+    small_batches(docs.sparkSession, 1000)
     with open(model_path, "rb") as f:
         model = f.read()
 
     def run(batches):
         lattice = lattice_of(model, n_best)
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            got = [lattice.best(t) for t in texts]
-            ids = _lists([g[0][0] for g in got])
-            same = [x == t.encode() for x, t in zip(lattice.decode_all(ids), texts, strict=True)]
-            counts = np.array([len(g[0]) - 1 for g in got], np.int64)
-            others = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), _lists([x for g in got for x in g[0][1:]]))
-            scores = pa.array([g[1] for g in got], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), ids, scores, pa.array(same, pa.bool_()), others], names=["doc_id", "ids", "scores", "round_trip", "others"])
+            texts = [(t or "").encode() for t in b.column(1).to_pylist()]
+            for i, j in _groups(texts):
+                ids, bounds, other, scores = lattice.solve(texts[i:j])
+                ids = _lists(pa.array(ids, pa.int32()), np.diff(bounds))
+                same = [x == t for x, t in zip(lattice.decode_all(ids), texts[i:j], strict=True)]
+                flat = [x for o in other for x in o]
+                ways = _lists(pa.array(np.concatenate([*flat, np.empty(0, np.int32)]), pa.int32()), [len(x) for x in flat])
+                columns = [b.column(0).slice(i, j - i), ids, pa.array(scores, pa.list_(pa.float64())), pa.array(same, pa.bool_()), _lists(ways, [len(o) for o in other])]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "scores", "round_trip", "others"])
+        tidy()
 
     schema = "doc_id long, ids array<int>, scores array<double>, round_trip boolean, others array<array<int>>"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
@@ -321,7 +378,9 @@ def decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
     def run(batches):
         lattice = lattice_of(model, N_BEST)
         for b in batches:
-            texts = [x.decode("utf-8", "replace") for x in lattice.decode_all(b.column(1).fill_null([]))]
+            ids = b.column(1)
+            ids = pa.array([x or [] for x in ids.to_pylist()], pa.list_(pa.int32())) if ids.null_count else ids
+            texts = [x.decode("utf-8", "replace") for x in lattice.decode_all(ids)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
