@@ -221,13 +221,80 @@ def test_pieces_forgotten_and_decoded(spark, odd, none, monkeypatch):
     assert pieces.decode(pieces.encode(none)).count() == 0
 
 
+def _targets_by_hand(rows):
+    """Sizes and targets of sources."""
+    size = {}
+    for _, t, s in rows:
+        size[s] = size.get(s, 0) + len((t or "").encode().split())
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    weight, goal, total = {s: 1 + i % 3 for i, s in enumerate(names)}, {}, sum(size.values())
+    open_ = set(names)
+    while open_:
+        unit = (total - sum(goal.values())) / sum(weight[s] for s in open_)
+        over = {s for s in open_ if unit * weight[s] > 3 * size[s]}
+        goal |= {s: 3.0 * size[s] for s in over} if over else {s: unit * weight[s] for s in open_}
+        open_ = open_ - over if over else set()
+    return size, goal
+
+
+def _seat_by_seat(votes, seats, most):
+    got = [0] * len(votes)
+    for _ in range(min(seats, sum(most))):
+        best = max((v / (2 * g + 1), -i) for i, (v, g, m) in enumerate(zip(votes, got, most, strict=True)) if g < m and v > 0) if any(g < m and v > 0 for v, g, m in zip(votes, got, most, strict=True)) else None
+        if best is None:
+            break
+        got[-best[1]] += 1
+    return got
+
+
 def test_mixing(spark):
-    got = mixing.mix(spark.read.parquet(f"{SF}/documents.parquet"), block=16, shard_words=2000).toPandas()
-    assert (got.taken <= 3 * got["size"]).all()
-    per = got.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
-    assert ((per.taken - per.target).abs() <= 64).all()
-    again = mixing.mix(spark.read.parquet(f"{SF}/documents.parquet").repartition(7), block=16, shard_words=2000).toPandas()
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = mixing.mix(docs, block=16, shard_words=2000, shard_rows=7).toPandas()
+    size, goal = _targets_by_hand([(r["doc_id"], r["text"], r["source"]) for r in docs.collect()])
+    assert (got.taken <= 3 * got["size"]).all() and len(got) == docs.count()
+    per = got.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"), n=("source_size", "first"), own=("size", "sum"))
+    for s, r in per.iterrows():
+        assert r.own == r.n == size[s] and abs(r.target - goal[s]) < 1e-6 * goal[s] + 1e-9
+        assert abs(r.taken - r.target) <= max(64, 0.02 * r.target)
+    again = mixing.mix(docs.repartition(7), block=16, shard_words=2000, shard_rows=7).toPandas()
     assert dict(zip(got.doc_id, got.taken, strict=True)) == dict(zip(again.doc_id, again.taken, strict=True))
+    # the mix itself: whole documents, each at most three times, and sources near their targets
+    out = mixing.mixed(docs).toPandas()
+    whole = {r["doc_id"]: tuple(r) for r in docs.collect()}
+    assert all(tuple(r) == whole[r[0]] for r in out.itertuples(index=False)) and out.groupby("doc_id").size().max() <= 3
+    words = out.text.fillna("").map(lambda t: len(t.encode().split())).groupby(out.source).sum()
+    assert sum(abs(words.get(s, 0) - goal[s]) for s in goal) < 0.25 * sum(goal.values())
+
+
+def test_mixing_of_odd_tables(spark):
+    row = lambda i, t, s: (i, t, s)
+    few = spark.createDataFrame([row(1, "a b c d", "x"), row(2, "e f g", "y"), row(3, "h i", None)], "doc_id long, text string, source string")
+    assert mixing.mix(few).agg(F.sum("taken")).first()[0] == 9
+    same = spark.createDataFrame([row(7, "a " * 40, "x"), row(7, "b", "x"), row(7, None, "x"), *[row(None, f"w{i} v", "y") for i in range(30)]], "doc_id long, text string, source string")
+    got = mixing.mix(same).collect()
+    assert sorted(r["size"] for r in got) == sorted([40, 1, 0, *[2] * 30]) and all(0 <= r["taken"] <= 3 * r["size"] for r in got)
+    kept = [tuple(r) for r in mixing.mixed(same).collect()]
+    assert set(kept) <= {tuple(r) for r in same.collect()} and (7, None, "x") not in kept and len({t for i, t, _ in kept if i is None}) > 5
+    short = spark.createDataFrame([row(i, None if i % 2 else "", "s") for i in range(5000)], "doc_id long, text string, source string")
+    assert mixing.mix(short).filter("taken = 0 AND target = 0").count() == 5000
+
+
+def test_blocks_are_selected_once_each():
+    for n in (1, 2, 7, 64, 1_000_003, 3_000_009):
+        for prime in mixing.PRIMES[:3]:
+            p = mixing.PRIMES[3] if n % prime == 0 else prime
+            if n < 1000:
+                assert len({(j * p + 5) % n for j in range(n)}) == n
+            assert n % p
+
+
+def test_sainte_lague_one_seat_at_a_time():
+    r = random.Random(8)
+    for _ in range(200):
+        n = r.randint(1, 9)
+        votes, most = [float(r.choice([0, 1, 3, 10, 1000]) * r.random()) for _ in range(n)], [r.randint(0, 30) for _ in range(n)]
+        seats = r.randint(0, 60)
+        assert mixing.sainte_lague(votes, seats, most) == _seat_by_seat(votes, seats, most)
 
 
 def test_sainte_lague():
