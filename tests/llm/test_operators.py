@@ -1,5 +1,7 @@
 import hashlib
 import random
+import re
+import time
 
 import duckdb
 import pytest
@@ -93,6 +95,79 @@ def test_personal_data():
     assert pii.find([""], crf) == [([], [])]
 
 
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def _plain_spans(text):
+    digits = lambda s: [int(c) for c in s if c in "0123456789"]
+    out = []
+    for kind, pattern in enumerate(PLAIN.values()):
+        for m in re.finditer(pattern, text):
+            d = digits(m[0])
+            doubled = [2 * x - 9 * (x > 4) for x in d[-2::-2]]
+            ok = (True, all(int(x) <= 255 for x in m[0].split(".")) if kind == 1 else False, 14 <= len(d) <= 19 and (sum(doubled) + sum(d[::-2])) % 10 == 0, 10 <= len(d) <= 15)
+            if ok[kind]:
+                out.append((m.start(), kind, m.end()))
+    return sorted(out)
+
+
+def test_rules_against_plain_regexes(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = {r["doc_id"]: r for r in pii.personal_data(docs, pii.train(docs)).collect()}
+    for r in docs.collect():
+        spans, row = _plain_spans(r["text"] or ""), got[r["doc_id"]]
+        text = ",".join(f"{list(PLAIN)[k]}:{a}:{b}" for a, k, b in spans)
+        assert row["base_sha256"] == hashlib.sha256(text.encode()).hexdigest() and {*text.split(",")} - {""} <= {*row["spans"].split(",")}
+        assert [row[f"n_{x}"] for x in PLAIN] == [sum(s[1] == k for s in spans) for k in range(4)]
+    r = random.Random(9)
+    for _ in range(4000):
+        text = "".join(r.choice("0123456789" * 3 + "..@+- ()aB_%") for _ in range(r.randint(0, 60)))
+        assert pii.base_spans(text) == _plain_spans(text)
+    for text in ("1.2.3.4.5.6.7.8.9", "0000000255.1.1.1", "4111 1111 1111 1111", "a@b.c@d.e", "+1 (555) 555-0100"):
+        assert pii.base_spans(text) == _plain_spans(text)
+
+
+def test_long_runs_of_digits_take_linear_time(spark):
+    texts = ["1" * 1_000_000, "1." * 500_000, "@" * 200_000, "a" * 500_000 + "@" + "b" * 500_000, "+1" * 300_000, "1 " * 400_000]
+    start = time.perf_counter()
+    for t in texts:
+        pii.base_spans(t)
+    assert time.perf_counter() - start < 20
+
+
+def test_disguised_personal_data_is_found(spark):
+    rows = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").collect() if r["text"] and re.search("[0-9@]", r["text"])]
+    crf, found, wrong, number = pii.fit(rows[::2]), 0, 0, 0
+    held = [pii.disguised(t, b) for t in rows[1::2] if (b := pii.base_spans(t))]
+    for (text, spans), (_, every) in zip(held, pii.find([t for t, _ in held], crf), strict=True):
+        number += len(spans)
+        found += sum(any(k == x and a < e and z > s for s, x, e in every) for a, k, z in spans)
+        wrong += sum(not any(a < e and z > s for a, _, z in spans) for s, _, e in every)
+    assert number > 200 and found >= 0.9 * number and wrong <= 0.05 * number
+    # a number that a rule finds once is found again where no rule does, however far apart
+    said = "+15555550100"
+    far = f"call {said} now " + "word " * 3000 + "or (15555550100) then " * 40
+    base, every = pii.find([far], crf)[0]
+    assert len(base) == 1 and sum(k == 3 for _, k, _ in every) == 41
+    # a text's spans do not depend on those it is read with
+    alone = [pii.find([t], crf)[0] for t, _ in held[:60]]
+    assert alone == pii.find([t for t, _ in held[:60]], crf)
+
+
+def test_personal_data_fitted_on_odd_rows(spark, odd, none):
+    crf = pii.train(odd)
+    got = pii.personal_data(odd, crf).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r["doc_id"]) for r in odd.collect())
+    want = [(r["doc_id"], hashlib.sha256(pii.written(_plain_spans(r["text"] or "")).encode()).hexdigest()) for r in odd.collect()]
+    assert sorted(map(repr, want)) == sorted(repr((r["doc_id"], r["base_sha256"])) for r in got)
+    assert pii.personal_data(none, crf).count() == 0 and pii.train(none) is None
+
+
 def test_features_of_long_and_odd_tokens():
     a, b = "https://x.org/" + "a" * 56, "http://y.org/u@" + "1234567890" * 5 + "12345"
     graph = pii.Graph()

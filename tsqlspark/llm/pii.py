@@ -29,13 +29,17 @@ from pyspark.sql import functions as F
 from ._common import WORD, small_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
-MAX_TRAIN = 1500
-ROUNDS = 8
+MAX_TRAIN, MAX_CHARS = 1500, 20_000
+#: Rounds of message passing at most, and the largest change of a message that counts as none.
+ROUNDS, STILL = 200, 1e-4
+#: Characters at one end that make two tokens similar, and letters and digits that both must have.
+SAME_END, LEAST_SIMILAR = 6, 8
 SEED = 3
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+# what does not match from the start of a run of digits matches from no later digit of it
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -74,7 +78,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     out = [(a, 0, b) for a, b in _emails(text)] if "@" in text else []
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0")[:3] or 0) <= 255 for p in m.group().split(".")):
+            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split(".")):
                 out.append((m.start(), 1, m.end()))
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 14:
@@ -92,21 +96,23 @@ def written(spans) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-_SHAPE = {str(d): "9" for d in range(10)}
+_NUMBERS = re.compile(r"[^0-9]+")
+_PARTS = re.compile(r"[A-Za-z0-9-][.,_][A-Za-z0-9-]")
 
 
 def features(token: str) -> np.ndarray:
-    """Shape of a token; what the rules decide on (Luhn's sum, the parts of an address) is left out."""
-    digits = len(_only_digits(token))
-    letters = sum(c.isalpha() for c in token)
+    """Shape of a token, and whether its digits pass the tests that numbers of a kind pass."""
+    only = _only_digits(token)
+    digits, letters = len(only), sum(c.isalpha() for c in token)
     dots, at = token.count("."), token.count("@")
     tail = token.rpartition("@")[2] if at else ""
-    parts = token.strip(".,;:!?\"'()").split(".")
+    parts = [p for p in _NUMBERS.split(token) if p]
+    card, four = 14 <= digits <= 19 and not letters, len(parts) == 4 and not letters
     return np.array([
-        1, at == 1, at > 1, "." in tail, digits == 0, 1 <= digits <= 3, 4 <= digits <= 8, 9 <= digits <= 13, 14 <= digits <= 19, digits > 19,
-        letters == 0, letters > digits, dots == 0, dots == 3 and not letters, dots > 3, len(parts) == 4 and all(p.isdigit() for p in parts),
-        token[0] == "+", "(" in token or ")" in token, "-" in token, '"' in token, "," in token, "%" in token or "$" in token,
-        digits >= 14 and letters == 0, at == 1 and letters > 3,
+        1, at == 1, at > 1, at == 1 and letters > 3, bool(at) and bool(_PARTS.search(tail)), digits == 0, 1 <= digits <= 3, 4 <= digits <= 8, 9 <= digits <= 13, digits > 19,
+        letters == 0, letters > digits, dots == 0, card and luhn(only), card and not luhn(only), four and all(len(p) <= 3 and int(p) <= 255 for p in parts), four and digits <= 12 and any(int(p) > 255 for p in parts),
+        token[0] == "+", "(" in token or ")" in token, "-" in token or "/" in token, '"' in token, "," in token, "%" in token or "$" in token,
+        10 <= digits <= 15 and letters == 0 and len(parts) >= 3,
     ], dtype=np.float64)
 
 
@@ -114,7 +120,7 @@ N_FEATURES = len(features("x"))
 
 
 class Graph:
-    """Tokens of several texts with chain and skip edges."""
+    """Tokens of several texts, chain edges, and hidden nodes for equal and for similar tokens."""
 
     def __init__(self):
         self.text: list[int] = []
@@ -122,10 +128,10 @@ class Graph:
         self.x: list[np.ndarray] = []
         self.label: list[int] = []  # 0 outside, else kind + 1; of the rules
         self.chain: list[tuple[int, int]] = []
-        self.skip: list[tuple[int, int]] = []
+        self.ties: list[list[list[int]]] = [[], []]  # groups of equal, and of similar tokens
 
     def add(self, k: int, text: str, base: list[tuple[int, int, int]], shapes: dict) -> None:
-        last_of: dict[str, int] = {}
+        groups: tuple[dict, dict] = ({}, {})
         at, was_near, nth = 0, -2, 0
         for m in _WORD.finditer(text):
             nth += 1
@@ -153,61 +159,108 @@ class Graph:
                 self.chain.append((i - 1, i))
             was_near = nth
             key = "".join(c for c in t if c.isalnum()).lower()
-            if len(key) > 3 and key in last_of:
-                self.skip.append((last_of[key], i))
-            last_of[key] = i
+            if len(key) > 3:
+                groups[0].setdefault(key, []).append(i)
+            if len(key) >= LEAST_SIMILAR:
+                for end in (("<", key[:SAME_END]), (">", key[-SAME_END:])):
+                    groups[1].setdefault(end, []).append(i)
+        for ties, found in zip(self.ties, groups, strict=True):
+            ties.extend(g for g in found.values() if len(g) > 1)
 
 
 @dataclass
 class Crf:
     unary: np.ndarray  # features x labels
     chain: np.ndarray  # labels x labels, log potentials
-    skip: np.ndarray
+    equal: np.ndarray
+    similar: np.ndarray
 
-    def beliefs(self, g: Graph, rounds: int = ROUNDS) -> np.ndarray:
-        """Marginals by loopy sum-product; labels of rule matches are clamped."""
+    def beliefs(self, g: Graph) -> np.ndarray:
+        """Marginals by loopy sum-product; labels of rule matches are clamped.  Texts share
+        nothing: each text's messages stop when they are still, whatever the others do."""
         n, m = len(g.text), len(KINDS) + 1
-        score = np.array(g.x) @ self.unary
+        if not n:
+            return np.zeros((0, m))
+        hidden = [[(n + h, i) for h, group in enumerate(g.ties[0] + g.ties[1]) for i in group]]
+        equal = sum(map(len, g.ties[0]))
+        pairs = np.array([*g.chain, *hidden[0]], dtype=np.int64).reshape(-1, 2)
+        nodes = n + len(g.ties[0]) + len(g.ties[1])
+        score = np.zeros((nodes, m))
+        score[:n] = np.array(g.x) @ self.unary
         fixed = np.array(g.label)
-        score[fixed > 0] -= 50
-        score[np.flatnonzero(fixed), fixed[fixed > 0]] += 100
-        pairs = np.array(g.chain + g.skip, dtype=np.int64).reshape(-1, 2)
+        at = np.flatnonzero(fixed)
+        score[at] -= 50
+        score[at, fixed[at]] += 100
         if len(pairs):
-            pot = np.concatenate([np.repeat(self.chain[None], len(g.chain), 0), np.repeat(self.skip[None], len(g.skip), 0)])
-            src, dst = np.concatenate([pairs[:, 0], pairs[:, 1]]), np.concatenate([pairs[:, 1], pairs[:, 0]])
+            sizes = (len(g.chain), equal, len(hidden[0]) - equal)
+            pot = np.concatenate([np.repeat(p[None], k, 0) for p, k in zip((self.chain, self.equal, self.similar), sizes, strict=True)])
             pot = np.concatenate([pot, pot.transpose(0, 2, 1)])
+            src, dst = np.concatenate([pairs[:, 0], pairs[:, 1]]), np.concatenate([pairs[:, 1], pairs[:, 0]])
             half = len(pairs)
             back = np.concatenate([np.arange(half) + half, np.arange(half)])
-            msg = np.zeros((2 * half, m))
-            for _ in range(rounds):
-                total = score.copy()
-                np.add.at(total, dst, msg)
-                out = (total[src] - msg[back])[:, :, None] + pot
+            text = np.array(g.text)[np.concatenate([pairs[:, 1], pairs[:, 1]])]
+            msg, total, on = np.zeros((2 * half, m)), score.copy(), np.arange(2 * half)
+            for _ in range(ROUNDS):
+                out = (total[src[on]] - msg[back[on]])[:, :, None] + pot[on]
                 top = out.max(1, keepdims=True)
                 new = (top + np.log(np.exp(out - top).sum(1, keepdims=True)))[:, 0]
-                msg = 0.5 * msg + 0.5 * (new - new.max(1, keepdims=True))
-            np.add.at(score, dst, msg)
-        score -= score.max(1, keepdims=True)
+                new = 0.5 * msg[on] + 0.5 * (new - new.max(1, keepdims=True))
+                moved = np.bincount(text[on], np.abs(new - msg[on]).max(1) > STILL, int(text.max()) + 1) > 0
+                msg[on] = new
+                total[dst[on]] = score[dst[on]]
+                np.add.at(total, dst[on], msg[on])
+                on = on[moved[text[on]]]
+                if not len(on):
+                    break
+            score = total
+        score = score[:n] - score[:n].max(1, keepdims=True)
         p = np.exp(score)
-        return p / p.sum(1, keepdims=True) if n else p
+        return p / p.sum(1, keepdims=True)
+
+
+def disguised(text: str, base: list[tuple[int, int, int]]) -> tuple[str, list[tuple[int, int, int]]]:
+    """A copy whose personal data no rule finds, with its spans: other separators."""
+    out, spans, done, size = [], [], 0, 0
+    for n, (a, k, b) in enumerate(base):
+        if a < done:
+            continue
+        own = text[a:b]
+        if k == 0:
+            own = own.replace(".", ",") if n % 2 else own.replace(".", "_")
+        elif k == 1:
+            own = own.replace(".", "," if n % 2 else "-")
+        elif k == 2:
+            d = _only_digits(own)
+            own = ("." if n % 2 else "/").join(d[i : i + 4] for i in range(0, len(d), 4))
+        else:
+            own = ("/" if n % 2 else "-").join(x for x in _NUMBERS.split(own) if x)
+        out += [text[done:a], own]
+        size += a - done
+        spans.append((size, k, size + len(own)))
+        size += len(own)
+        done = b
+    return "".join([*out, text[done:]]), spans
 
 
 def fit(texts: list[str]) -> Crf | None:
     g, shapes = Graph(), {}
     for k, t in enumerate(texts):
-        g.add(k, t, base_spans(t), shapes)
+        base = base_spans(t)
+        g.add(2 * k, t, base, shapes)
+        if base:
+            g.add(2 * k + 1, *disguised(t, base), shapes)
     m = len(KINDS) + 1
     if not g.text:
         return None
     x, y = np.array(g.x), np.eye(m)[np.array(g.label)]
     w = np.zeros((N_FEATURES, m))
     w[0, 0] = 1.0
-    for _ in range(300):  # multinomial logistic regression with a ridge
+    for _ in range(600):  # multinomial logistic regression with a ridge
         z = x @ w
         z -= z.max(1, keepdims=True)
         p = np.exp(z)
         p /= p.sum(1, keepdims=True)
-        w += 1.0 * (x.T @ (y - p) / len(x) - 1e-3 * w)
+        w += 2.0 * (x.T @ (y - p) / len(x) - 1e-4 * w)
 
     def potential(pairs):
         joint = np.full((m, m), 0.5)
@@ -217,7 +270,8 @@ def fit(texts: list[str]) -> Crf | None:
         joint /= joint.sum()
         return np.clip(np.log(joint) - np.log(joint.sum(1)[:, None] * joint.sum(0)[None]), -4, 4)
 
-    return Crf(w, potential(g.chain), potential(g.skip))
+    tied = lambda groups: potential([p for x in groups for p in zip(x, x[1:])])
+    return Crf(w, potential(g.chain), tied(g.ties[0]), tied(g.ties[1]))
 
 
 def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
@@ -256,10 +310,11 @@ def find(texts: list[str], crf: Crf | None) -> list[tuple[list, list]]:
 
 
 def train(docs: DataFrame, max_train: int = MAX_TRAIN) -> Crf | None:
-    order = F.xxhash64("doc_id", F.lit(SEED))
-    sample = docs.filter(F.col("text").rlike("[0-9@]")).select(order.alias("o"), "doc_id").orderBy("o", "doc_id").limit(max_train)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample.distinct()), "doc_id").select("o", "doc_id", "text").collect()
-    return fit([r["text"] or "" for r in sorted(rows, key=lambda r: (r["o"], r["doc_id"], r["text"] or ""))])
+    """Fits to a bounded sample of rows, of each at most ``MAX_CHARS`` code points around its
+    first digit or at sign (of the training sample only)."""
+    near = F.regexp_extract("text", f"(?s).{{0,{MAX_CHARS // 2}}}[0-9@].{{0,{MAX_CHARS // 2}}}", 0)
+    sample = docs.filter(F.col("text").rlike("[0-9@]")).select(F.xxhash64("doc_id", F.lit(SEED)).alias("o"), F.xxhash64("text").alias("t"), near.alias("text"))
+    return fit([r["text"] for r in sample.orderBy("o", "t", "text").limit(max_train).collect()])
 
 
 def personal_data(docs: DataFrame, crf: Crf | None) -> DataFrame:
