@@ -55,6 +55,22 @@ def test_odd_rows_against_sql(odd):
     same(substring.substring_dedup(docs, frequent=1), substring.oracle(), docs)
 
 
+def test_quality_thresholds_come_from_the_data(spark):
+    """Scaled values give scaled thresholds, and junk of one document in eleven falls."""
+    r = random.Random(2)
+    word = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    rows = []
+    for i in range(660):
+        for lang, n in (("x", 4), ("y", 12)):
+            w = [word(r.randint(n - 1, n + 1) * (3 if i % 11 == 0 else 1)) for _ in range(80)]
+            rows.append((len(rows), " ".join(w), lang, "s"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    limits = {t["lang"]: t for t in quality.thresholds(quality.sketches(quality.document_stats(docs)), "lang", "source").collect()}
+    assert 4000 < limits["x"]["high_mean_len_milli"] < 9000 and 12_000 < limits["y"]["high_mean_len_milli"] < 18_000
+    kept = {x["doc_id"] for x in quality.quality_rules(docs).filter("kept").collect()}
+    assert not kept & {i for i in range(len(rows)) if i // 2 % 11 == 0} and len(kept) > 0.97 * 1200
+
+
 def test_odd_rows_do_not_crash(odd, none):
     model, crf = toxicity.fit([], []), None
     for run in (quality.quality_rules, substring.substring_dedup, suffix.suffix_dedup, exact.exact_dedup, mixing.mix, jaccard.linked, pieces.encode,

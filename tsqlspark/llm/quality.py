@@ -4,9 +4,11 @@ Each document gets integer measures.  Per language, source and measure the value
 log-linear histogram sketch: a value is counted in the bucket of its top six binary
 digits, so a quantile read from it is within 1/32 of the true one.  A sketch is a set of
 (bucket, count) rows; two merge by adding counts, which is what the partial aggregation,
-the shuffle and the merge of small groups into their language's sketch do.  Thresholds
-are outer fences around the quartiles read from the sketches, and documents are joined
-with the thresholds of their own group and filtered.
+the shuffle and the merge of small groups into their language's sketch do.  A threshold is
+read from the sketch alone: the last decile, and twice the tail's own spread, which is that
+decile's distance from the median, beyond it.  So no value is a cutoff by itself, and at
+most one document in ten of a group fails by a measure.  Documents are joined with the
+thresholds of their own group and filtered.
 
 Only DataFrame functions are used.
 
@@ -25,15 +27,16 @@ from pyspark.sql import Window
 
 from ._common import stored, table
 
-#: measure: (fence below, fence above, least distance of a fence from its quartile).
+#: measure: (threshold below, threshold above).
 #: Shares are parts per million, mean word length is thousandths of a code point.
 MEASURES = {
-    "symbol_ppm": (False, True, 20_000),
-    "dup_line_ppm": (False, True, 200_000),
-    "repeat_ppm": (False, True, 250_000),
-    "mean_len_milli": (True, True, 1_500),
+    "symbol_ppm": (False, True),
+    "dup_line_ppm": (False, True),
+    "repeat_ppm": (False, True),
+    "mean_len_milli": (True, True),
 }
-FENCE = 3
+#: The quantile 9/10 above, 1/10 below; how many of the tail's spreads lie beyond it.
+TAIL, OF, SPREADS = 9, 10, 2
 MIN_GROUP = 100
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -134,23 +137,26 @@ def merge(sketch: DataFrame, *by: str) -> DataFrame:
 
 
 def thresholds(sketch: DataFrame, *by: str) -> DataFrame:
-    """One row for each group: its size and, as columns low_<measure> and high_<measure>, the fences."""
+    """One row for each group: its size and, as columns low_<measure> and high_<measure>, the thresholds."""
     keys = [*by, "measure"]
     w = Window.partitionBy(*keys)
     ranked = sketch.select(
         *keys, "bucket", F.sum("n").over(w.orderBy("bucket")).alias("upto"), F.sum("n").over(w).alias("total")
     )
-    quartile = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("total") * q, F.col("bucket")))
-    spread = ranked.groupBy(*keys).agg(quartile(1).alias("b1"), quartile(3).alias("b3"), F.max("total").alias("total"))
-    spread = spread.select(*keys, "total", bucket_low("b1").alias("q1"), (bucket_low("b3 + 1") - 1).alias("q3"))
-    least = F.create_map(*[x for k, v in MEASURES.items() for x in (F.lit(k), F.lit(v[2]))])[F.col("measure")]
-    reach = F.greatest((F.col("q3") - F.col("q1")) * FENCE, least)
+    quantile = lambda q: F.min(F.when(F.col("upto") * OF >= F.col("total") * q, F.col("bucket")))
+    half = F.min(F.when(F.col("upto") * 2 >= F.col("total"), F.col("bucket")))
+    found = ranked.groupBy(*keys).agg(quantile(OF - TAIL).alias("b_low"), half.alias("b_mid"), quantile(TAIL).alias("b_high"), F.max("total").alias("total"))
+    # of a bucket its largest value above, its least value below
+    top = lambda b: bucket_low(f"{b} + 1") - 1
+    low, high = bucket_low("b_low"), top("b_high")
+    low, high = low - SPREADS * (bucket_low("b_mid") - low), high + SPREADS * (high - top("b_mid"))
+    spread = found.select(*keys, "total", low.alias("low"), high.alias("high"))
     cols = [F.max("total").alias("total")]
-    for k, (below, above, _) in MEASURES.items():
+    for k, (below, above) in MEASURES.items():
         if below:
-            cols.append(F.max(F.when(F.col("measure") == k, F.col("q1") - reach)).alias(f"low_{k}"))
+            cols.append(F.max(F.when(F.col("measure") == k, F.col("low"))).alias(f"low_{k}"))
         if above:
-            cols.append(F.max(F.when(F.col("measure") == k, F.col("q3") + reach)).alias(f"high_{k}"))
+            cols.append(F.max(F.when(F.col("measure") == k, F.col("high"))).alias(f"high_{k}"))
     return spread.groupBy(*by).agg(*cols)
 
 
@@ -172,7 +178,7 @@ def quality_rules(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     inside = F.lit(True)
     for k, v in _measures().items():
-        below, above, _ = MEASURES[k]
+        below, above = MEASURES[k]
         inside = inside & (v >= F.col(f"low_{k}") if below else F.lit(True)) & (v <= F.col(f"high_{k}") if above else F.lit(True))
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -193,18 +199,15 @@ def _sql_low(b: str) -> str:
     return f"(CASE WHEN {b} < 64 THEN {b} ELSE (({b}) % 32 + 32) << (({b}) // 32 - 1) END)"
 
 
-def _sql_fences(source: str, by: str) -> str:
+def _sql_thresholds(source: str, by: str) -> str:
     keys = f"{by}, measure" if by else "measure"
-    least = "CASE measure " + " ".join(f"WHEN '{k}' THEN {v[2]}" for k, v in MEASURES.items()) + " END"
-    cols = [
-        f"max(CASE WHEN measure = '{k}' THEN {'q1 - reach' if s == 'low' else 'q3 + reach'} END) AS {s}_{k}"
-        for k, v in MEASURES.items() for s, on in (("low", v[0]), ("high", v[1])) if on
-    ]
+    top = lambda b: f"({_sql_low(f'({b} + 1)')} - 1)"
+    cols = [f"max(CASE WHEN measure = '{k}' THEN {s} END) AS {s}_{k}" for k, v in MEASURES.items() for s, on in (("low", v[0]), ("high", v[1])) if on]
     return f"""SELECT {by + ', ' if by else ''}max(total) AS total, {', '.join(cols)} FROM (
-      SELECT {keys}, total, {_sql_low('b1')} AS q1, {_sql_low('(b3 + 1)')} - 1 AS q3,
-             greatest(({_sql_low('(b3 + 1)')} - 1 - {_sql_low('b1')}) * {FENCE}, {least}) AS reach FROM (
-        SELECT {keys}, max(total) AS total, min(CASE WHEN upto * 4 >= total THEN bucket END) AS b1,
-               min(CASE WHEN upto * 4 >= total * 3 THEN bucket END) AS b3 FROM (
+      SELECT {keys}, total, {_sql_low('b_low')} - {SPREADS} * ({_sql_low('b_mid')} - {_sql_low('b_low')}) AS low,
+             {top('b_high')} + {SPREADS} * ({top('b_high')} - {top('b_mid')}) AS high FROM (
+        SELECT {keys}, max(total) AS total, min(CASE WHEN upto * {OF} >= total * {OF - TAIL} THEN bucket END) AS b_low,
+               min(CASE WHEN upto * 2 >= total THEN bucket END) AS b_mid, min(CASE WHEN upto * {OF} >= total * {TAIL} THEN bucket END) AS b_high FROM (
           SELECT {keys}, bucket, CAST(sum(n) OVER (PARTITION BY {keys} ORDER BY bucket) AS BIGINT) AS upto,
                  CAST(sum(n) OVER (PARTITION BY {keys}) AS BIGINT) AS total
           FROM (SELECT {keys}, bucket, CAST(sum(n) AS BIGINT) AS n FROM {source} GROUP BY {keys}, bucket)) GROUP BY {keys})) {('GROUP BY ' + by) if by else ''}"""
@@ -239,9 +242,9 @@ WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
  m AS (SELECT *, {', '.join(f'CAST({v} AS BIGINT) AS {k}' for k, v in measures.items())} FROM s),
  l AS ({' UNION ALL '.join(f"SELECT lang, source, '{k}' AS measure, {k} AS v FROM m" for k in measures)}),
  sk AS (SELECT lang, source, measure, {_sql_bucket('v')} AS bucket, count(*) AS n FROM l GROUP BY ALL),
- o AS ({_sql_fences('sk', 'lang, source')}),
- g2 AS ({_sql_fences('sk', 'lang')}),
- a AS ({_sql_fences('sk', '')}),
+ o AS ({_sql_thresholds('sk', 'lang, source')}),
+ g2 AS ({_sql_thresholds('sk', 'lang')}),
+ a AS ({_sql_thresholds('sk', '')}),
  t AS (SELECT o.lang, o.source, {pick} FROM o JOIN g2 g ON o.lang IS NOT DISTINCT FROM g.lang, a)
 SELECT m.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
