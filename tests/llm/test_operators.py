@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tsqlspark.llm import exact, html, jaccard, mixing, pieces, pii, quality, registry, substring, suffix, toxicity
+from tsqlspark.llm import exact, html, jaccard, mixing, pieces, pii, quality, registry, spans, substring, suffix, toxicity
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, key long, h long, label string, _taken long"
@@ -81,6 +81,38 @@ def test_odd_rows_do_not_crash(odd, none):
         assert keep(odd).columns == odd.columns and keep(none).count() == 0
 
 
+def _removed_by_hand(rows, length):
+    """(n_words, n_removed, sha) for each row; rows without id are not compared."""
+    least: dict[tuple, int] = {}
+    split = lambda t: (t or "").encode().split()
+    for i, t in rows:
+        w = split(t)
+        for k in range(len(w) - length + 1) if i is not None else []:
+            key = tuple(w[k : k + length])
+            least[key] = min(i, least.get(key, i))
+    out = []
+    for i, t in rows:
+        w = split(t)
+        gone = {k + j for k in range(len(w) - length + 1) if i is not None and least[tuple(w[k : k + length])] < i for j in range(length)}
+        kept = [x for k, x in enumerate(w) if k not in gone]
+        out.append((i, len(w), len(gone), hashlib.sha256(b" ".join(kept)).hexdigest()))
+    return sorted(map(repr, out))
+
+
+@pytest.mark.parametrize("run, length", [(substring.substring_dedup, 13), (suffix.suffix_dedup, 50)])
+def test_repeated_ids_and_hot_passages(spark, monkeypatch, run, length):
+    r = random.Random(length)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    text = lambda n: " ".join(word() for _ in range(n))
+    hot, other = text(length + 9), text(2 * length)
+    rows = [(i, f"{text(r.randint(0, 3 * length))} {hot} {text(r.randint(0, length))}") for i in range(40)]
+    rows += [(7, other), (7, text(60) + " " + hot), (7, other), (3, other), (None, hot), (None, other), (50, f"{hot} {hot} {other}"), (51, None), (52, " ".join(["a"] * 200)), (53, " ".join(["a"] * 90)), (54, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for frequent, words in ((500, 1 << 14), (3, 100), (500, 1)):
+        monkeypatch.setattr(spans, "SHARD_WORDS", words)
+        assert sorted(repr(tuple(x)) for x in run(docs, frequent=frequent).collect()) == _removed_by_hand(rows, length)
+
+
 def test_small_tries_spill_and_agree(odd):
     a, b = (sorted(map(str, exact.exact_dedup(odd, trie_bytes=n).collect())) for n in (200, 1 << 25))
     assert a == b

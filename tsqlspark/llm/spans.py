@@ -6,14 +6,17 @@ smallest-hashed run of ``gram`` words in it (a minimiser), so equal windows sele
 anchors at equal places.  Windows next to each other that select the same anchor form a
 region, whose words are all that is needed to compare them.
 
-1. Anchors are counted over documents; those in one document only end here.
-2. Documents with shared anchors give their regions.  A frequent anchor's regions are cut
-   into single windows with a key of their own, so no key gathers many different regions.
-3. Equal regions collapse to the smallest doc_id before and during a shuffle; what is
-   left of a key meets in one task, where an engine (suffix automaton or sparse suffix
-   array) finds the smallest doc_id of each window.
+1. Anchors are written once and counted; those that stand in one text only end here.
+2. Texts with shared anchors give their regions.  An anchor of very many regions would
+   gather them all in one place; its regions are cut into windows, each with a key of its
+   own, so that no key gathers many different regions.
+3. Equal regions collapse to the smallest doc_id before and during a shuffle; what is left
+   is dealt by key and read as reference shards of about ``SHARD_WORDS`` words.  An engine
+   (suffix automaton, sparse suffix array) is built of every shard, and its regions are
+   streamed past it to find the smallest doc_id of each window.
 4. Results go back to the documents by region, and words of repeated windows go.
 
+A row's text is known by a hash of doc_id and text, so rows of one doc_id may differ.
 Shared folders hold the regions; nothing is collected to the driver or broadcast.
 """
 
@@ -27,10 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Words, mix64, small_batches, stored
+from ._common import Words, drop_stored, mix64, small_batches, stored, tidy
 
-#: Documents from which an anchor counts as frequent.
+#: Regions from which an anchor counts as frequent.
 FREQUENT = 500
+#: Words of a reference shard, about.
+SHARD_WORDS = 1 << 14
 _CHUNK = 1 << 21
 
 
@@ -50,33 +55,37 @@ def _pieces(texts: list[bytes]):
 
 
 def regions_of(w: Words, length: int, gram: int):
-    """Regions of all texts: (text, first window's word index, number of windows, anchor's hash)."""
+    """Regions of all texts: (text, first window's word index, number of windows, anchor's word index and hash)."""
     g, _ = w.grams(gram)
     span = length - gram + 1
     n = len(w.hash) - length + 1
+    empty = (np.empty(0, np.int64),) * 4 + (np.empty(0, np.uint64),)
     if n <= 0:
-        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
+        return empty
     pick = np.arange(n) + np.lib.stride_tricks.sliding_window_view(g, span)[:n].argmin(1)
     ok = np.flatnonzero(w.doc[:n] == w.doc[length - 1 :])
     if not len(ok):
-        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
+        return empty
     pick = pick[ok]
     new = np.ones(len(ok), bool)
     new[1:] = (pick[1:] != pick[:-1]) | (w.doc[ok[1:]] != w.doc[ok[:-1]])
     starts = np.flatnonzero(new)
     count = np.diff(np.append(starts, len(ok)))
-    return w.doc[ok[starts]], ok[starts], count, g[pick[starts]]
+    return w.doc[ok[starts]], ok[starts], count, pick[starts], g[pick[starts]]
 
 
 def _anchors(length: int, gram: int):
     def run(batches):
         for b in batches:
-            ids, texts = b.column(0).to_numpy(zero_copy_only=False), _texts(b.column(1))
+            rows, texts = b.column(0).to_numpy(zero_copy_only=False), _texts(b.column(1))
             for lo, hi in _pieces(texts):
-                doc, _, _, h = regions_of(Words(texts[lo:hi]), length, gram)
+                doc, _, _, _, h = regions_of(Words(texts[lo:hi]), length, gram)
                 if len(doc):
-                    both = np.unique(np.stack([doc.astype(np.uint64), h]), axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(both[1].view(np.int64)), pa.array(ids[lo:hi][both[0].astype(np.int64)])], names=["h", "doc_id"])
+                    both, n = np.unique(np.stack([doc.astype(np.uint64), h]), axis=1, return_counts=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(both[1].view(np.int64)), pa.array(rows[lo:hi][both[0].astype(np.int64)]), pa.array(n.astype(np.int32))], names=["h", "row", "m"]
+                    )
+        tidy()
 
     return run
 
@@ -84,12 +93,12 @@ def _anchors(length: int, gram: int):
 def _regions(length: int, gram: int):
     def run(batches):
         for b in batches:
-            ids, texts = b.column(0).to_numpy(zero_copy_only=False), _texts(b.column(1))
-            shared, often = b.column(2), b.column(3)
+            ids, rows, texts = b.column(0), b.column(1), _texts(b.column(2))
+            shared, often = b.column(3), b.column(4)
             for lo, hi in _pieces(texts):
                 w = Words(texts[lo:hi])
-                doc, at, n, h = regions_of(w, length, gram)
-                # keep regions whose anchor the document shares
+                doc, at, n, anchor, h = regions_of(w, length, gram)
+                # keep regions whose anchor the text shares
                 pick, cut = [], []
                 bounds = np.searchsorted(doc, np.arange(hi - lo + 1))
                 for k in range(hi - lo):
@@ -107,8 +116,8 @@ def _regions(length: int, gram: int):
                 reps = n[parted]
                 first = np.concatenate([at[whole], np.repeat(at[parted], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)])
                 count = np.concatenate([n[whole], np.ones(int(reps.sum()), np.int64)])
-                owner = np.concatenate([doc[whole], np.repeat(doc[parted], reps)])
-                key = np.concatenate([h[whole], np.repeat(h[parted], reps)])
+                owner, split, key = (np.concatenate([x[whole], np.repeat(x[parted], reps)]) for x in (doc, anchor, h))
+                split = (split - first).astype(np.int32)
                 if len(parted):
                     win, _ = w.grams(length)
                     key[len(whole) :] = mix64(win[first[len(whole) :]] ^ key[len(whole) :])
@@ -117,52 +126,49 @@ def _regions(length: int, gram: int):
                     f, c = first[s : s + 20_000], count[s : s + 20_000]
                     body = [data[x:y] for x, y in zip(start[f].tolist(), end[f + c + length - 2].tolist(), strict=True)]
                     o = owner[s : s + 20_000]
+                    here = pa.array(lo + o)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[lo:hi][o]), pa.array((f - w.bounds[o]).astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(key[s : s + 20_000].view(np.int64)),
-                         pa.array([b" ".join(x.split()) for x in body], pa.binary())],
-                        names=["doc_id", "at", "n", "key", "body"],
+                        [ids.take(here), rows.take(here), pa.array((f - w.bounds[o]).astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(split[s : s + 20_000]),
+                         pa.array(key[s : s + 20_000].view(np.int64)), pa.array([b" ".join(x.split()) for x in body], pa.binary())],
+                        names=["doc_id", "row", "at", "n", "split", "key", "body"],
                     )
+        tidy()
 
     return run
 
 
-#: An engine gets the distinct regions of one key, as lists of words, and the smallest
-#: doc_id of each; it gives for each region the smallest doc_id of each of its windows.
-Engine = Callable[[list[list[bytes]], list[int], int], list[list[int]]]
+#: An engine gets the distinct regions of a shard as lists of words in ascending order of the
+#: smallest doc_id of each, where the anchor is in each, and these doc_ids; it gives for each
+#: region the smallest doc_id of each of its windows.
+Engine = Callable[[list[list[bytes]], list[int], list[int], int], list[list[int]]]
 
 
 def _solve(engine: Engine, length: int):
+    """Rows sorted by key; a shard ends with a key."""
+
     def run(batches):
-        key, bodies, owners = None, [], []
-        out: list[tuple] = []
-
-        def close():
-            if len(bodies) == 1:  # every window's smallest document is the region's
-                n = bodies[0].count(b" ") + 2 - length
-                out.append((key, bodies[0], [owners[0]] * n))
-            elif bodies:
-                order = sorted(range(len(bodies)), key=lambda i: owners[i])
-                words = [bodies[i].split(b" ") for i in order]
-                for i, got in zip(order, engine(words, [owners[i] for i in order], length), strict=True):
-                    out.append((key, bodies[i], got))
-
-        def batch():
-            keys, b, wins = zip(*out, strict=True)
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(b, pa.binary()), pa.array(wins, pa.list_(pa.int64()))], names=["key", "body", "least"])
+        held: list[tuple] = []
+        key, words = None, 0
+
+        def shard():
+            held.sort(key=lambda r: r[2])
+            regions = [r[1].split(b" ") for r in held]
+            got = engine(regions, [r[3] for r in held], [r[2] for r in held], length)
+            out = pa.RecordBatch.from_arrays([pa.array([r[0] for r in held], pa.int64()), pa.array([r[1] for r in held], pa.binary()), pa.array(got, pa.list_(pa.int64()))], names=["key", "body", "least"])
+            held.clear()
+            return out
 
         for b in batches:
-            for k, body, owner in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if k != key:
-                    close()
-                    key, bodies, owners = k, [], []
-                bodies.append(body)
-                owners.append(owner)
-            if len(out) >= 2000:
-                yield batch()
-        close()
-        if out:
-            yield batch()
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if words >= SHARD_WORDS and row[0] != key:
+                    yield shard()
+                    words = 0
+                key = row[0]
+                held.append(row)
+                words += row[1].count(b" ") + 1
+        if held:
+            yield shard()
+        tidy()
 
     return run
 
@@ -189,28 +195,38 @@ def _strip(length: int):
 
 
 def repeated(docs: DataFrame, engine: Engine, length: int, gram: int, frequent: int = FREQUENT) -> DataFrame:
-    """(doc_id, starts, counts): for each document with repeated windows, runs of ``counts``
+    """(doc_id, row, starts, counts): for each text with repeated windows, runs of ``counts``
     consecutive windows from word ``starts`` on.  Rows without doc_id are not compared."""
     small_batches(docs.sparkSession)
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
-    anchors = narrow.mapInArrow(_anchors(length, gram), "h long, doc_id long")
-    shared = stored(anchors.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h", (F.col("c") > frequent).alias("often")))
-    lists = stored(anchors.join(shared, "h").groupBy("doc_id").agg(F.collect_list("h").alias("hs"), F.collect_list("often").alias("often")))
-    regions = narrow.join(lists, "doc_id").select("doc_id", "text", "hs", "often").mapInArrow(_regions(length, gram), "doc_id long, at int, n int, key long, body binary")
-    regions = stored(regions)
-    reps = regions.groupBy("key", "body").agg(F.min("doc_id").alias("owner")).repartition("key").sortWithinPartitions("key")
+    narrow = _rows(docs).filter("doc_id IS NOT NULL")
+    anchors = stored(narrow.select("row", "text").mapInArrow(_anchors(length, gram), "h long, row long, m int"))
+    shared = stored(anchors.groupBy("h").agg(F.count("*").alias("c"), F.sum("m").alias("m")).filter("c > 1").select("h", (F.col("m") > frequent).alias("often")))
+    lists = stored(anchors.join(shared, "h").groupBy("row").agg(F.collect_list("h").alias("hs"), F.collect_list("often").alias("often")))
+    drop_stored(anchors)
+    regions = narrow.join(lists, "row").select("doc_id", "row", "text", "hs", "often")
+    regions = stored(regions.mapInArrow(_regions(length, gram), "doc_id long, row long, at int, n int, split int, key long, body binary"))
+    drop_stored(lists)
+    reps = regions.groupBy("key", "body").agg(F.min("doc_id").alias("owner"), F.min("split").alias("split")).repartition("key").sortWithinPartitions("key")
     solved = reps.mapInArrow(_solve(engine, length), "key long, body binary, least array<long>")
     solved = stored(solved.select("key", F.xxhash64("body").alias("rid"), F.array_max("least").alias("most"), "least"))
-    back = regions.select("doc_id", "at", "n", "key", F.xxhash64("body").alias("rid")).join(solved, ["key", "rid"])
+    back = regions.select("doc_id", "row", "at", "n", "key", F.xxhash64("body").alias("rid")).join(solved, ["key", "rid"])
     runs = F.when(F.col("most") < F.col("doc_id"), F.array(F.struct(F.col("at").alias("s"), F.col("n").alias("c")))).otherwise(
         F.expr("transform(filter(sequence(0, n - 1), i -> least[i] < doc_id), i -> struct(at + i AS s, 1 AS c))")
     )
-    runs = back.select("doc_id", F.explode(runs).alias("r"))
-    return runs.groupBy("doc_id").agg(F.collect_list("r.s").alias("starts"), F.collect_list("r.c").alias("counts"))
+    runs = back.select("doc_id", "row", F.explode(runs).alias("r"))
+    runs = stored(runs.groupBy("doc_id", "row").agg(F.collect_list("r.s").alias("starts"), F.collect_list("r.c").alias("counts")))
+    drop_stored(regions)
+    drop_stored(solved)
+    return runs
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return named.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
 
 
 def strip(docs: DataFrame, engine: Engine, length: int, gram: int, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for each document."""
-    runs = stored(repeated(docs, engine, length, gram, frequent)).withColumnRenamed("doc_id", "r_id")
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(runs, F.col("doc_id") == F.col("r_id"), "left")
+    runs = repeated(docs, engine, length, gram, frequent).withColumnsRenamed({"doc_id": "r_id", "row": "r_row"})
+    joined = _rows(docs).join(runs, (F.col("row") == F.col("r_row")) & (F.col("doc_id") == F.col("r_id")), "left")
     return joined.select("doc_id", "text", "starts", "counts").mapInArrow(_strip(length), "doc_id long, n_words long, n_removed long, kept_sha256 string")

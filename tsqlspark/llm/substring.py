@@ -1,13 +1,14 @@
 """Operator 2, substring dedup by suffix automata of reference shards.
 
-The references are all documents.  A shard is what shares an anchor (see ``spans``), so
-it is of bounded size and its automaton is built where the documents' regions are
-streamed, instead of broadcasting automata that together are as large as the corpus.
+The references are all documents.  Their words are dealt to shards by anchors (see
+``spans``), each shard of a bounded number of words; its automaton is built where the
+documents' regions for that shard are streamed, instead of broadcasting automata that
+together are as large as the corpus past documents of which few share anything with them.
 Streaming a region gives its matching statistics; where the matched length reaches
 ``LENGTH`` the automaton's state tells the smallest document that has the window.
 
 Defined results: a null text has no words; a null doc_id takes no part and keeps its
-words; repeated rows of one doc_id are one document for comparison and each get a row;
+words; rows of one doc_id, equal or not, are one document for comparison and each get a row;
 an empty table gives no rows.  Only doc_id and text are read.
 """
 
@@ -91,7 +92,8 @@ class Automaton:
         return out
 
 
-def by_automaton(regions: list[list[bytes]], owners: list[int], length: int) -> list[list[int]]:
+def by_automaton(regions: list[list[bytes]], _: list[int], owners: list[int], length: int) -> list[list[int]]:
+    """One automaton of the whole shard, past which its regions are streamed."""
     shard = Automaton()
     for words, owner in zip(regions, owners, strict=True):
         shard.add(words, owner)

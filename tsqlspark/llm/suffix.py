@@ -1,9 +1,9 @@
 """Operator 10, suffix-array dedup with sparse suffix arrays.
 
 Only suffixes that start at content-selected minimiser positions are kept (see
-``spans``: the anchors).  Suffixes with the same anchor are sorted and neighbours
-compared, which gives their common prefixes to the right; matches are then extended word
-by word to the left.  A passage of ``LENGTH`` words or more that also stands in a
+``spans``: the anchors).  All suffixes of a shard, whatever their anchors, are sorted and
+neighbours compared, which gives their common prefixes to the right; runs of neighbours
+that share enough are then extended word by word to the left.  A passage of ``LENGTH`` words or more that also stands in a
 document with a smaller doc_id is removed.
 
 Defined results: as for operator 2 (``substring``), with windows of ``LENGTH`` words.
@@ -34,40 +34,39 @@ def _common(a: list, b: list) -> int:
     return lo
 
 
-def by_suffix_array(regions: list[list[bytes]], owners: list[int], length: int) -> list[list[int]]:
-    """Regions of one key share an anchor; it is found as the words that all have at the
-    place that the windows' geometry leaves, so each region is split there."""
-    splits = [_anchor(r, length) for r in regions]
+def by_suffix_array(regions: list[list[bytes]], splits: list[int], owners: list[int], length: int) -> list[list[int]]:
+    """Of the window that starts ``left`` words before its anchor, the words from the anchor on
+    are a common prefix of neighbours in the sparse suffix array; those before it are compared
+    by prolonging each match leftwards, one word for each step of ``left``."""
     rights = [r[a:] for r, a in zip(regions, splits, strict=True)]
-    lefts = [r[:a][::-1] for r, a in zip(regions, splits, strict=True)]
     order = sorted(range(len(regions)), key=lambda i: rights[i])
     lcp = [0, *[_common(rights[order[k - 1]], rights[order[k]]) for k in range(1, len(order))]]
     out = [[owners[i]] * (len(r) - length + 1) for i, r in enumerate(regions)]
-    for left in range(max(splits) + 1):
-        need = length - left  # words from the anchor on
-        k = 0
+    # matches further left need fewer words on the right: runs of neighbours grow as ``left`` does
+    same = [0] * len(regions)  # number of the class of equal words to the left, for each region
+    for left in range(max(splits, default=-1) + 1):
+        need, k = length - left, 0  # words from the anchor on
+        if left:
+            classes: dict[tuple, int] = {}
+            for i, r in enumerate(regions):
+                if same[i] >= 0:
+                    a = splits[i]
+                    same[i] = classes.setdefault((same[i], r[a - left]), len(classes)) if left <= a else -1
         while k < len(order):
             e = k + 1
             while e < len(order) and lcp[e] >= need:
                 e += 1
             if e - k > 1:
-                least: dict[tuple, int] = {}
-                members = [(i, tuple(lefts[i][:left])) for i in order[k:e] if len(lefts[i]) >= left and len(rights[i]) >= need]
-                for i, around in members:
-                    least[around] = min(owners[i], least.get(around, owners[i]))
-                for i, around in members:
-                    out[i][splits[i] - left] = least[around]
+                least: dict[int, int] = {}
+                members = [i for i in order[k:e] if same[i] >= 0 and len(rights[i]) >= need]
+                for i in members:
+                    least[same[i]] = min(owners[i], least.get(same[i], owners[i]))
+                for i in members:
+                    out[i][splits[i] - left] = least[same[i]]
             k = e
     return out
 
 
-def _anchor(region: list[bytes], length: int) -> int:
-    """Where the anchor is: the minimiser that all windows of the region select."""
-    w = spans.Words([b" ".join(region)])
-    g, _ = w.grams(GRAM)
-    return int(g[: length - GRAM + 1].argmin())
-
-
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, frequent: int = spans.FREQUENT) -> DataFrame:
     return spans.strip(docs, by_suffix_array, length, GRAM, frequent)
 
