@@ -474,6 +474,43 @@ def test_all_links_are_counted(spark, monkeypatch, block):
     assert {x["doc_id"]: x["n_links"] for x in got} == want | {None: 0} and max(want.values()) > 15
 
 
+def test_template_pages_are_told_apart_where_they_meet(spark, monkeypatch):
+    """Pages of one template that do not link: verified pairs grow about with the pages, not with their square."""
+    r, verify = random.Random(3), jaccard._verify
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    template, parts = " ".join(word() for _ in range(160)), [" ".join(word() for _ in range(10)) for _ in range(120)]
+    seen = {}
+
+    def counted(k, percent):
+        run = verify(k, percent)
+
+        def go(batches):
+            def each():
+                for b in batches:
+                    number.add(b.num_rows)
+                    yield b
+
+            yield from run(each())
+
+        return go
+
+    monkeypatch.setattr(jaccard, "_verify", counted)
+    for n in (100, 300):
+        number = spark.sparkContext.accumulator(0)
+        texts = [(i, " ".join([template, *r.sample(parts, 4)])) for i in range(n)]
+        got = {x["doc_id"]: x["component_id"] for x in jaccard.linked(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+        sets, top = {i: jaccard.shingles(t, 4) for i, t in texts}, {i: i for i, _ in texts}
+        for i in range(n):
+            for j in range(i):
+                both = len(sets[i] & sets[j])
+                if 100 * both >= 85 * len(sets[i] | sets[j]):
+                    a, b = sorted((top[i], top[j]))
+                    top = {x: a if y == b else y for x, y in top.items()}
+        assert got == top
+        seen[n] = number.value
+    assert seen[300] < 5 * seen[100] and seen[300] < 300 * 299 / 2 / 5
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
 

@@ -100,6 +100,18 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def bounded(batches, limit: int = 4 * CHUNK_BYTES):
+    """Arrow batches cut so that none but those of one row has more than ``limit`` bytes."""
+    for b in batches:
+        at, rows = 0, max(1, b.num_rows * limit // max(b.nbytes, 1))
+        while at < b.num_rows:
+            piece = b.slice(at, rows)
+            while piece.num_rows > 1 and piece.nbytes > limit:  # long texts close together
+                piece = piece.slice(0, piece.num_rows // 2)
+            yield piece
+            at += piece.num_rows
+
+
 def tidy() -> None:
     """Gives memory that a Python worker no longer needs back to the machine: workers live on
     after a task, and executors count them."""

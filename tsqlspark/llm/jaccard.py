@@ -19,9 +19,14 @@ Sets that are equal form a class, and only its smallest document goes on.  A key
 members are first compared with its smallest member only, then links are joined to
 components; then, where a key still holds several components, members are compared with
 one of its largest component, and at last those that are still in different components
-with each other, unless the shingles that only one member of the open keys has already
-leave too few in common: every other candidate pair is either verified on the texts' shingles
-themselves or already joined, and no group is written out as all its pairs.
+with each other.  Before a pair is verified, two bounds are taken from what a key's members
+carry: the shingles that only one of them has, and the parity sketches of both sets.  A
+sketch has a bit for each of ``SKETCH_BITS`` hash cells, set if an odd number of the set's
+shingles falls there; what two sets share cancels out, so the bits in which their sketches
+differ are no more than the shingles in which the sets do.  Texts that share a template but
+do not link are thereby told apart where they meet, and what is verified grows with the
+links.  Every other candidate pair is either verified on the texts' shingles themselves or
+already joined, and no group is written out as all its pairs.
 
 Links lie within components, so all of them are counted there at last: the members of each
 component are compared with each other, a large component in blocks of which any two meet
@@ -39,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import Words, drop_stored, freed, fresh, mix64, small_batches, stored, table
+from ._common import Words, bounded, drop_stored, freed, fresh, mix64, small_batches, stored, table, tidy
 
 PERCENT, SHINGLE = 85, 4
 #: Rounds that compare a key's members with one other each before the rest are compared.
@@ -49,6 +54,7 @@ LINEAR_ROUNDS = 2
 FIRST_KEYS = 32
 #: Texts, and shingles of all of them, in a block of a component when its links are counted.
 BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 1 << 19
+SKETCH_BITS = 1024
 _COLUMNS = 4096
 _CHUNK = 1 << 21
 _C1, _C2, _C3 = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
@@ -209,6 +215,23 @@ def _elements(k: int):
     return run
 
 
+def _sketches(k: int):
+    """The parity sketch of each text's set, as 64-bit words."""
+
+    def run(batches):
+        for b in batches:
+            for ids, texts in _pieces(b):
+                s = Sets(texts, k)
+                cell = (mix64(s.hash ^ _C2) >> np.uint64(32)).astype(np.int64) % SKETCH_BITS
+                bits = np.bincount(s.doc * SKETCH_BITS + cell, minlength=s.texts * SKETCH_BITS) & 1
+                words = np.packbits(bits.astype(np.uint8).reshape(-1, 8), axis=1).reshape(-1).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(s.texts + 1, dtype=np.int32) * (SKETCH_BITS // 64)), pa.array(words))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(s.size.astype(np.int64)), lists], names=["doc_id", "n", "sketch"])
+        tidy()
+
+    return run
+
+
 def shingles(text: str | None, k: int) -> set[bytes]:
     """The set itself, as byte strings."""
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -220,7 +243,7 @@ def shingles(text: str | None, k: int) -> set[bytes]:
 def _verify(k: int, percent: int):
     def run(batches):
         last, left = None, set()
-        for b in batches:
+        for b in bounded(batches):
             a_ids, b_ids, a_text, b_text = (b.column(i).to_pylist() for i in range(4))
             keep = []
             for i, (x, t, u) in enumerate(zip(a_ids, a_text, b_text, strict=True)):
@@ -232,6 +255,7 @@ def _verify(k: int, percent: int):
                     keep.append(i)
             at = np.array(keep, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.array(a_ids, np.int64)[at]), pa.array(np.array(b_ids, np.int64)[at])], names=["a", "b"])
+        tidy()
 
     return run
 
@@ -391,13 +415,19 @@ def linked(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, count: boo
     own = texts.mapInArrow(_elements(k), "doc_id long, n long, h long").groupBy("h").agg(F.min(F.struct("doc_id", "n")).alias("d"), F.max("doc_id").alias("last"))
     own = own.filter("d.doc_id = last").groupBy("d.doc_id", "d.n").agg(F.count("*").alias("u"))
     members = stored(some.select("key", "doc_id", "n").join(own, ["doc_id", "n"], "left").fillna(0, ["u"]))
+    sketches = stored(texts.mapInArrow(_sketches(k), "doc_id long, n long, sketch array<long>"))
+    sketched = lambda rows, d, n, to: rows.join(sketches.select(F.col("doc_id").alias(d), F.col("n").alias(n), F.col("sketch").alias(to)), [d, n])
+    differ = F.aggregate(F.zip_with("sketch", "sketch_a", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    near = differ * (100 + percent) <= (F.col("n") + F.col("n_a")) * (100 - percent)
     fits = fits & (F.least(F.col("n") - F.col("u"), F.col("n_a") - F.col("u_a")) * (100 + percent) >= (F.col("n") + F.col("n_a")) * percent)
     # 2. where a key still holds several components, those outside its largest with one member of that, another for each key
     some, minor = open_keys(labels)
     for turn in range(LINEAR_ROUNDS):
         other = some.filter("comp = main").groupBy("key").agg(F.min(F.struct("u", F.xxhash64("key", "doc_id", F.lit(turn)), "doc_id", "n")).alias("m"))
         other = other.select("key", "m.doc_id", "m.n", "m.u")
-        pairs = stored(ordered(minor.join(other, "key").filter(fits)).join(tried, ["a", "b"], "left_anti"))
+        pairs = minor.join(other, "key").filter(fits).select("a", "n_a", "doc_id", "n").distinct()
+        pairs = sketched(sketched(pairs, "a", "n_a", "sketch_a"), "doc_id", "n", "sketch").filter(near)
+        pairs = stored(ordered(pairs).join(tried, ["a", "b"], "left_anti"))
         new = verified(pairs, texts)
         tried = tried.union(pairs)
         if new.isEmpty():
@@ -408,9 +438,9 @@ def linked(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, count: boo
     # 3. all pairs of members of a key that are in different components now, each at its
     # first key as far as FIRST_KEYS of a text's keys tell
     first = some.groupBy("doc_id").agg(F.slice(F.sort_array(F.collect_set("key")), 1, FIRST_KEYS).alias("first"))
-    some = stored(some.join(first, "doc_id").withColumn("first", F.filter("first", lambda x: x < F.col("key"))))
-    minor = some.filter("comp <> main").select("key", F.col("first").alias("first_a"), *(F.col(c).alias(f"{c}_a") for c in ("n", "u", "comp")), F.col("doc_id").alias("a"))
-    apart = (F.col("comp") != F.col("comp_a")) & fits & ~F.arrays_overlap("first", "first_a")
+    some = stored(sketched(some.join(first, "doc_id"), "doc_id", "n", "sketch").withColumn("first", F.filter("first", lambda x: x < F.col("key"))))
+    minor = some.filter("comp <> main").select("key", F.col("first").alias("first_a"), *(F.col(c).alias(f"{c}_a") for c in ("n", "u", "comp", "sketch")), F.col("doc_id").alias("a"))
+    apart = (F.col("comp") != F.col("comp_a")) & fits & near & ~F.arrays_overlap("first", "first_a")
     cross = ordered(minor.join(some, "key").filter(apart)).join(tried, ["a", "b"], "left_anti")
     more = verified(stored(cross), texts)
     if not more.isEmpty():

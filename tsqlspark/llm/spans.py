@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Words, drop_stored, mix64, small_batches, stored, tidy
+from ._common import Words, drop_stored, freed, mix64, small_batches, stored, tidy
 
 #: Regions from which an anchor counts as frequent.
 FREQUENT = 500
@@ -203,9 +203,11 @@ def repeated(docs: DataFrame, engine: Engine, length: int, gram: int, frequent:
     shared = stored(anchors.groupBy("h").agg(F.count("*").alias("c"), F.sum("m").alias("m")).filter("c > 1").select("h", (F.col("m") > frequent).alias("often")))
     lists = stored(anchors.join(shared, "h").groupBy("row").agg(F.collect_list("h").alias("hs"), F.collect_list("often").alias("often")))
     drop_stored(anchors)
+    freed(docs.sparkSession)  # the next shuffle is as large as those before
     regions = narrow.join(lists, "row").select("doc_id", "row", "text", "hs", "often")
     regions = stored(regions.mapInArrow(_regions(length, gram), "doc_id long, row long, at int, n int, split int, key long, body binary"))
     drop_stored(lists)
+    freed(docs.sparkSession)
     reps = regions.groupBy("key", "body").agg(F.min("doc_id").alias("owner"), F.min("split").alias("split")).repartition("key").sortWithinPartitions("key")
     solved = reps.mapInArrow(_solve(engine, length), "key long, body binary, least array<long>")
     solved = stored(solved.select("key", F.xxhash64("body").alias("rid"), F.array_max("least").alias("most"), "least"))
