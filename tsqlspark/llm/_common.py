@@ -98,6 +98,7 @@ def parts(spark: SparkSession) -> int:
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Texts may be long, so batches to Python stay short."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 * CHUNK_BYTES))
 
 
 def bounded(batches, limit: int = 4 * CHUNK_BYTES):

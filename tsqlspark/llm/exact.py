@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 from pyspark.sql.types import StringType
 
-from ._common import SPACE, fresh, small_batches, table
+from ._common import SPACE, fresh, small_batches, table, tidy
 
-#: Bytes of edges that one trie may hold before it spills a subtree.
-TRIE_BYTES = 48 << 20
+#: Bytes that one trie may hold before it spills a subtree, and those of a node besides its edge.
+TRIE_BYTES, NODE_BYTES = 64 << 20, 400
 #: Bytes of texts in one output batch.
 BATCH_BYTES = 4 << 20
 
@@ -64,7 +64,7 @@ def _shared_prefix(a: bytes, b: bytes) -> int:
 
 
 class PatriciaTrie:
-    """Maps byte strings to (code points, smallest id, count); ``size`` is the bytes of its edges."""
+    """Maps byte strings to (code points, smallest id, count); ``size`` is about the bytes it takes."""
 
     def __init__(self):
         self.root, self.size = Node(b"", {}), 0
@@ -84,7 +84,7 @@ class PatriciaTrie:
                 if node.children is None:
                     node.children = {}
                 node.children[key[at]] = Node(key[at:], None, owner)
-                self.size += len(key) - at + 64
+                self.size += len(key) - at + NODE_BYTES
                 return
             edge = child.edge
             if key[at : at + len(edge)] == edge:
@@ -94,7 +94,7 @@ class PatriciaTrie:
             child.edge = edge[k:]
             middle = Node(edge[:k], {edge[k]: child})
             node.children[key[at]] = middle
-            self.size += 64
+            self.size += NODE_BYTES
             node, at = middle, at + k
         node.owner = self.merge(node.owner, owner)
 
@@ -119,7 +119,7 @@ class PatriciaTrie:
             total, todo = 0, [top]
             while todo:
                 x = todo.pop()
-                total += len(x.edge) + 64
+                total += len(x.edge) + NODE_BYTES
                 if x.children:
                     todo.extend(x.children.values())
             return total
@@ -175,6 +175,7 @@ def partial_owners(limit: int):
                 yield (len(body), _hash(body), body, *own)
 
         yield from _named(_emit(rows(), _PARTIAL_ARROW), ["len", "h", "body", "cp", "id", "n"])
+        tidy()
 
     return run
 
@@ -197,6 +198,7 @@ def _final_owners(batches):
             yield hashlib.sha256(body).hexdigest(), i, n
 
     yield from _named(_emit(rows(), [pa.string(), pa.int64(), pa.int64()]), ["owner_sha", "owner_id", "owner_n"])
+    tidy()
 
 
 def _fingerprints(batches):

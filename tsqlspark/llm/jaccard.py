@@ -200,6 +200,7 @@ def _index(k: int, percent: int):
                 long = [s.size.astype(np.int64)[text], p1.view(np.int64)[text], p2.view(np.int64)[text], spare[rows]]
                 columns = [ids.take(pa.array(text)), pa.array((rows % 2).astype(np.int32)), *map(pa.array, long), lists]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "up", "n", "p1", "p2", "spare", "keys"])
+        tidy()
 
     return run
 
@@ -211,6 +212,7 @@ def _elements(k: int):
                 s = Sets(texts, k)
                 columns = [ids.take(pa.array(s.doc)), pa.array(s.size.astype(np.int64)[s.doc]), pa.array(s.hash.view(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "h"])
+        tidy()
 
     return run
 

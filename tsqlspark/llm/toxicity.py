@@ -42,7 +42,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import CHUNK_BYTES, small_batches, table
+from ._common import CHUNK_BYTES, small_batches, table, tidy
 
 #: Words of a window when texts are scored, and when toxic spans are looked for.
 WINDOW, SPAN_WINDOW = 10, 5
@@ -288,6 +288,7 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             got = score(b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.float64())], names=["doc_id", "held_out", "score"])
+        tidy()
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), F.col("text"))
     scored = narrow.mapInArrow(run, "doc_id long, held_out boolean, score double")
@@ -303,6 +304,7 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
         score = model.scorer()
         for b in batches:
             yield b.filter(pa.array(score(b.column(at).to_pylist()) < 0.5, pa.bool_()))
+        tidy()
 
     return docs.mapInArrow(run, docs.schema)
 
