@@ -18,11 +18,12 @@ def _cell(v) -> str:
 
 
 def markdown(df: DataFrame, most: int = 1000) -> str:
-    """At most ``most`` rows; timestamps in the session's time zone (UTC)."""
-    rows = df.limit(most).collect()
+    """The first ``most`` rows, and a line that tells if there are more; timestamps in the session's time zone (UTC)."""
+    rows = df.limit(most + 1).collect()
+    more, rows = len(rows) > most, rows[:most]
     names = df.columns
     if not rows:
         return f"Empty Set (0 rows)\n\nColumns: {', '.join(names)}"
     line = lambda cells: "| " + " | ".join(cells) + " |"
-    return "\n".join([line(names), line(["---"] * len(names)), *(line([_cell(v) for v in r]) for r in rows)])
+    return "\n".join([line(names), line(["---"] * len(names)), *(line([_cell(v) for v in r]) for r in rows), *([f"\nOnly the first {most} rows are shown; there are more."] if more else [])])
 

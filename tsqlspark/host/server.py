@@ -85,18 +85,20 @@ class Server:
 
     def tables(self) -> str:
         out = []
-        for t in self.session.catalog.list_tables():
-            n = self.session.resolve(t["name"]).count()
-            out.append(f"{t['name']} ({', '.join(c['name'] + ' ' + c['type'] for c in t['columns'])}), {len(t['parts'])} parts in {self.session.db.root}, {n} rows")
+        for t in self.session.all_tables():
+            n = self.session.resolve(t["name"]).count()  # from the files' footers, without reading rows
+            where = "registered" if t["parts"] is None else f"{len(t['parts'])} parts in {self.session.db.root}"
+            out.append(f"{t['name']} ({', '.join(c['name'] + ' ' + c['type'] for c in t['columns'])}), {where}, {n} rows")
         return "\n".join(out) or "no tables"
 
     def schema(self, name: str) -> str:
-        if not self.session.catalog.table_exists(name):
+        found = next((t for t in self.session.all_tables() if t["name"].lower() == name.lower()), None)
+        if found is None:
             return f"ERROR: there is no table {name}"
         lines = []
-        for c in self.session.catalog.columns(name):
-            extra = [w for w, on in (("NOT NULL", not c.nullable), ("PRIMARY KEY", c.primary), ("UNIQUE", c.unique and not c.primary)) if on]
-            lines.append(" ".join([c.name, c.type, *extra, *([f"CHECK ({c.check})"] if c.check else [])]))
+        for c in found["columns"]:
+            extra = [w for w, on in (("NOT NULL", not c["nullable"]), ("PRIMARY KEY", c["primary"]), ("UNIQUE", c["unique"] and not c["primary"])) if on]
+            lines.append(" ".join([c["name"], c["type"], *extra, *([f"CHECK ({c['check']})"] if c["check"] else [])]))
         return "\n".join(lines)
 
     def serve(self, lines=sys.stdin, out=sys.stdout) -> None:

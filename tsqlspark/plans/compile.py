@@ -70,8 +70,9 @@ class Scope:
 
 
 class Compiler:
-    def __init__(self, spark: SparkSession, resolve: Resolver):
-        self.spark, self.resolve = spark, resolve
+    def __init__(self, spark: SparkSession, resolve: Resolver, now: int | None = None):
+        """``now``: GETDATE() in microseconds, one instant for all of a statement."""
+        self.spark, self.resolve, self.now = spark, resolve, now
         self.bound: dict[str, DataFrame] = {}
 
     def run(self, query: A.Select) -> DataFrame:
@@ -85,8 +86,8 @@ class Compiler:
         self.bound[name] = df
         return name
 
-    def source(self, s: A.Source, scope: Scope) -> str:
-        df = self.resolve(s.name)
+    def source(self, s: A.Source, scope: Scope, df: DataFrame | None = None) -> str:
+        df = self.resolve(s.name) if df is None else df
         name = self.bind(df)
         active = Active({(s.alias or s.name).lower(), *([] if s.alias else [s.name.rpartition(".")[2].lower()]), s.name.lower()}, f"t{name}", df.schema)
         scope.sources.append(active)
@@ -149,7 +150,8 @@ class Compiler:
                     raise SqlError("arity", f"{e.name} does not take *")
                 return "count(1)", "INT"
             got = [self.expr(a, scope) for a in e.args]
-            return call(e.name, [g[0] for g in got], [g[1] for g in got])
+            sql, kind = call(e.name, [g[0] for g in got], [g[1] for g in got])
+            return (f"timestamp_micros({self.now})" if sql == "current_timestamp()" and self.now else sql), kind
         if isinstance(e, A.Unary):
             sql, kind = self.expr(e.arg, scope)
             return (f"(NOT {sql})", "BIT") if e.op == "NOT" else (f"(- {sql})", kind)

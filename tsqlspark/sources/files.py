@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from contextlib import contextmanager
+
 from pyspark.sql import SparkSession
 
 
@@ -41,5 +44,28 @@ class Files:
     def delete(self, p: str) -> None:
         self.fs.delete(self.path(p), True)
 
-    def names(self, p: str) -> list[str]:
-        return [s.getPath().getName() for s in self.fs.listStatus(self.path(p))] if self.exists(p) else []
+    def ages(self, p: str) -> list[tuple[str, float]]:
+        """(name, time of the last change) of what is in a folder."""
+        return [(s.getPath().getName(), s.getModificationTime() / 1000) for s in self.fs.listStatus(self.path(p))] if self.exists(p) else []
+
+    @contextmanager
+    def turn(self, p: str, lease: float):
+        """Holds the lock file ``p``: only one at a time can create it.  One older than ``lease`` seconds is void."""
+        path = self.path(p)
+        while True:
+            try:
+                self.fs.create(path, False).close()
+                break
+            except Exception:
+                try:
+                    made = self.fs.getFileStatus(path).getModificationTime() / 1000
+                except Exception:  # gone meanwhile
+                    continue
+                if time.time() - made > lease:
+                    self.fs.delete(path, False)
+                else:
+                    time.sleep(0.05)
+        try:
+            yield
+        finally:
+            self.fs.delete(path, False)
