@@ -283,6 +283,43 @@ def _all_segmentations(lattice, text, n):
     return sorted(out, reverse=True)[:n]
 
 
+def _varied_pages(n):
+    """Pages written apart from the training generator: (html, main blocks)."""
+    r = random.Random(31)
+    text = lambda a, b: " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 9))) for _ in range(r.randint(a, b))).capitalize() + "."
+    for i in range(n):
+        title, blocks = text(3, 8), [text(12, 70) for _ in range(r.randint(2, 7))]
+        paras = "".join(f"<p>{b}</p>" for b in blocks)
+        menu = "".join(f"<li><a href='/{k}'>{text(1, 2)}</a></li>" for k in range(r.randint(3, 8)))
+        foot = f"<div id='footer'><p>&copy; {text(2, 6)}</p></div>"
+        yield (
+            (f"<html><body><div class='container'><div class='row'><ul>{menu}</ul></div><div class='row'><h1>{title}</h1>{paras}</div>{foot}</div></body></html>", [title, *blocks]),
+            (f"<html><body><table width='100%'><tr><td><ul>{menu}</ul></td><td><h1>{title}</h1>{paras}</td></tr></table></body></html>", [title, *blocks]),
+            (f"<body><h1>{title}</h1>{paras}</body>", [title, *blocks]),
+            (f"<html><body><header><a href='/'>{text(1, 3)}</a></header><main id='x7'><section><h2>{title}</h2>{paras}</section></main><aside><p>{text(5, 20)}</p></aside></body></html>", [title, *blocks]),
+            (f"<html><body><ul id='nav'>{menu}</ul><div><div><h1>{title}</h1><div>{'</div><div>'.join(blocks)}</div></div></div></body></html>", [title, *blocks]),
+        )[i % 5]
+
+
+def test_html_of_other_layouts(spark, none):
+    model, pages = html.trained(), list(_varied_pages(150))
+    found = wanted = given = right = 0
+    for (_, main), got in zip(pages, html.extract([p for p, _ in pages], model), strict=True):
+        assert got
+        lines = got.split("\n")
+        wanted, given = wanted + len(main), given + len(lines)
+        found, right = found + sum(b in lines for b in main), right + sum(x in main for x in lines)
+    assert found >= 0.95 * wanted and right >= 0.95 * given
+    one = " ".join(f"w{i}" for i in range(40))
+    for page in (f"<html><body><div class='row'><p>{one}</p></div></body></html>", f"<table><tr><td>{one}</td></tr></table>", one, f"<p>{one}", f"<article><svg class=a /><p>{one}</p></article>", f"<article><p>{one}</p><svg><text>no</text></svg></article>"):
+        assert html.extract([page], model) == [one]
+    assert html.extract(["<nav><a href=x>Home</a></nav>", "<article><select-menu>a b</select-menu></article>"], model) == ["", "a b"]
+    rows = [(1, None, None), (1, "u", ""), (None, "u", f"<p>{one}</p>"), (2, "u", "<div>" * 3000 + one)]
+    docs = spark.createDataFrame([(*x, "t", 5) for x in rows], "page_id long, url string, html string, text string, n_chars long")
+    assert sorted(map(repr, (tuple(x) for x in html.main_text(docs, model).collect()))) == sorted(map(repr, [(1, None, "", 0), (1, "u", "", 0), (None, "u", one, len(one)), (2, "u", one, len(one))]))
+    assert html.main_text(docs.limit(0), model).count() == 0
+
+
 def test_pieces():
     with open(pieces.MODEL, "rb") as f:
         lattice = pieces.Lattice(f.read())

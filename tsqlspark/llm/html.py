@@ -4,10 +4,13 @@ A page is parsed into block nodes (inline markup belongs to the block around it)
 node has features of its tag, attribute tokens, depth, siblings, subtree density and
 ancestors.  Boosted trees give the log odds that a node belongs to the main text.
 Decoding is hierarchical: a node can be kept only if its ancestors are, and the choice
-with the largest sum of log odds over the tree is taken by dynamic programming.
+with the largest sum of log odds over the tree is taken by dynamic programming.  If that is
+to keep nothing although text stands outside links and what tags or attributes mark as
+besides the article, the blocks of that text with the best odds are kept with their ancestors.
 
 The trees are trained here, on generated pages whose templates and labels are known
-(``training_pages``), not on the pages that are to be extracted.
+(``training_pages``), not on the pages that are to be extracted: articles in telling
+elements, in plain nested blocks, in cells of layout tables and directly in the body.
 
 Defined results: a null, empty or text-free page gives an empty text; cut-off markup at
 the end of a page is dropped, open elements end there; repeated rows each get a row; an empty
@@ -28,7 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ._common import small_batches, table
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|select)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<svg(?=[\s/>])[^>]*/>|<(script|style|textarea|iframe)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(?:svg|noscript|template|select)(?=[\s>])[^>]*>(?:[^<]|<(?!/(?:svg|noscript|template|select)\s*>))*+</(?:svg|noscript|template|select)\s*>"
     r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"'<]|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*(?:>|\Z)|<[a-zA-Z/!?][^<>]*\Z""",
     re.S | re.I,
 )
@@ -241,6 +245,8 @@ def training_pages(n: int, seed: int = 4):
     links = lambda k: "".join(f'<li><a href="/{word()}">{word()}</a></li>' for _ in range(k))
     cls = lambda *names: r.choice([f' class="{r.choice(names)}"', f' id="{r.choice(names)}"', f' class="{word()} {r.choice(names)}"'])
 
+    plain = lambda: r.choice([f' class="{r.choice(["row", "col", "wrap", "container", "inner", "box", "page", "grid"])}"', f' id="{word()}"', f' class="{word()} {word()}"'])
+
     def away(kind):
         if kind == "nav":
             return r.choice([f"<nav><ul>{links(r.randint(2, 12))}</ul></nav>", f"<div{cls('nav', 'menu', 'navbar', 'main-menu', 'breadcrumbs')}><ul>{links(r.randint(2, 12))}</ul></div>"])
@@ -287,19 +293,30 @@ def training_pages(n: int, seed: int = 4):
             else:
                 body.append(away(r.choice(["ad", "aside", "notice", "form"])))
         inner = "".join(body)
+        before, after = ([away(k) for k in r.sample(kinds, r.randint(0, 4))] for _ in range(2))
         wrap = r.random()
-        if wrap < 0.55:
+        if wrap < 0.4:
             inner = f"<article>{inner}</article>" if r.random() < 0.8 else f"<main><article>{inner}</article></main>"
-        elif wrap < 0.75:
+        elif wrap < 0.5:
             inner = f"<main>{inner}</main>"
-        else:
+        elif wrap < 0.6:
             inner = f"<div{cls('content', 'post', 'entry-content', 'main', 'article-body', 'story')}>{inner}</div>"
-        before, after = ([away(k) for k in r.sample(kinds, r.randint(0, 4))] for _ in range(2))
+        elif wrap < 0.75:  # blocks whose names tell nothing
+            for _ in range(r.randint(1, 3)):
+                inner = f"<{(tag := r.choice(['div', 'div', 'section']))}{r.choice(['', plain(), plain()])}>{inner}</{tag}>"
+        elif wrap < 0.88:  # layout tables
+            menu = f"<td><ul>{links(r.randint(3, 9))}</ul></td>" if r.random() < 0.6 else "<td>" + " ".join(f'<a href="/{word()}">{word()}</a>' for _ in range(r.randint(3, 9))) + "</td>"
+            side = f"<td{cls('sidebar', 'ads', 'promo', 'related')}>{prose(3, 40)}</td>" if r.random() < 0.4 else ""
+            if r.random() < 0.3:
+                main.clear()
+                inner = prose(20, 200)
+                main.append(inner)
+            inner = f"<table><tr>{menu if r.random() < 0.7 else ''}<td>{inner}</td>{side}</tr></table>"
         page = f"<!DOCTYPE html><html><head><title>{prose(2, 8)}</title></head><body>{''.join(before)}{inner}{''.join(after)}</body></html>"
         yield (page[: page.rfind("</p>") + 4] if r.random() < 0.05 and not after else page), main
 
 
-TRAIN_PAGES = 500
+TRAIN_PAGES = 900
 
 
 @lru_cache(maxsize=1)
@@ -320,6 +337,10 @@ def trained(pages: int = TRAIN_PAGES) -> Boosted:
     return Boosted().fit(np.concatenate(xs), np.concatenate(ys))
 
 
+#: Log odds by which a block may be worse than the best one where no block is likely to be main text.
+NEAR_BEST = 1.5
+
+
 def decode(nodes: list[Node], score: np.ndarray) -> list[bool]:
     """The kept nodes: closed under ancestors, with the largest sum of log odds."""
     place = {id(x): i for i, x in enumerate(nodes)}
@@ -330,6 +351,20 @@ def decode(nodes: list[Node], score: np.ndarray) -> list[bool]:
     keep = [False] * len(nodes)
     for i, x in enumerate(nodes):
         keep[i] = best[i] > 0 and (x.up is None or keep[place[id(x.up)]])
+    if not any(k and x.runs for x, k in zip(nodes, keep, strict=True)):
+        beside = [False] * len(nodes)
+        for i, x in enumerate(nodes):
+            own = _GROUP_OF.get(x.tag, -1)
+            beside[i] = 0 <= own <= 4 or own == 15 or bool(AWAY.intersection(x.attrs)) or (x.up is not None and beside[place[id(x.up)]])
+        plain = [i for i, x in enumerate(nodes) if x.runs and not beside[i] and 2 * x.links < x.chars]
+        top = max((score[i] for i in plain), default=0.0)
+        for i in plain:
+            x = nodes[i] if score[i] >= top - NEAR_BEST else None
+            while x is not None and not keep[place[id(x)]]:
+                keep[place[id(x)]] = True
+                x = x.up
+        for i, x in enumerate(nodes):  # ancestors lend no text of their own here
+            keep[i] = keep[i] and (i in plain or not x.runs)
     return keep
 
 
