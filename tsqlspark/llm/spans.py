@@ -6,7 +6,7 @@ smallest-hashed run of ``gram`` words in it (a minimiser), so equal windows sele
 anchors at equal places.  Windows next to each other that select the same anchor form a
 region, whose words are all that is needed to compare them.
 
-1. Anchors are written once and counted; those that stand in one text only end here.
+1. Anchors are found once and counted; those that stand in one text only end here.
 2. Texts with shared anchors give their regions.  An anchor of very many regions would
    gather them all in one place; its regions are cut into windows, each with a key of its
    own, so that no key gathers many different regions.
@@ -27,6 +27,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -199,15 +200,14 @@ def repeated(docs: DataFrame, engine: Engine, length: int, gram: int, frequent:
     consecutive windows from word ``starts`` on.  Rows without doc_id are not compared."""
     small_batches(docs.sparkSession)
     narrow = _rows(docs).filter("doc_id IS NOT NULL")
-    anchors = stored(narrow.select("row", "text").mapInArrow(_anchors(length, gram), "h long, row long, m int"))
-    shared = stored(anchors.groupBy("h").agg(F.count("*").alias("c"), F.sum("m").alias("m")).filter("c > 1").select("h", (F.col("m") > frequent).alias("often")))
-    lists = stored(anchors.join(shared, "h").groupBy("row").agg(F.collect_list("h").alias("hs"), F.collect_list("often").alias("often")))
-    drop_stored(anchors)
-    freed(docs.sparkSession)  # the next shuffle is as large as those before
+    # kept on executors' disks, and computed again where an executor is lost
+    anchors = narrow.select("row", "text").mapInArrow(_anchors(length, gram), "h long, row long, m int").persist(StorageLevel.DISK_ONLY)
+    shared = anchors.groupBy("h").agg(F.count("*").alias("c"), F.sum("m").alias("m")).filter("c > 1").select("h", (F.col("m") > frequent).alias("often"))
+    lists = anchors.join(shared, "h").groupBy("row").agg(F.collect_list("h").alias("hs"), F.collect_list("often").alias("often"))
     regions = narrow.join(lists, "row").select("doc_id", "row", "text", "hs", "often")
     regions = stored(regions.mapInArrow(_regions(length, gram), "doc_id long, row long, at int, n int, split int, key long, body binary"))
-    drop_stored(lists)
-    freed(docs.sparkSession)
+    anchors.unpersist()
+    freed(docs.sparkSession)  # the next shuffles are as large as those before
     reps = regions.groupBy("key", "body").agg(F.min("doc_id").alias("owner"), F.min("split").alias("split")).repartition("key").sortWithinPartitions("key")
     solved = reps.mapInArrow(_solve(engine, length), "key long, body binary, least array<long>")
     solved = stored(solved.select("key", F.xxhash64("body").alias("rid"), F.array_max("least").alias("most"), "least"))
