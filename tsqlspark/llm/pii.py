@@ -310,11 +310,14 @@ def find(texts: list[str], crf: Crf | None) -> list[tuple[list, list]]:
 
 
 def train(docs: DataFrame, max_train: int = MAX_TRAIN) -> Crf | None:
-    """Fits to a bounded sample of rows, of each at most ``MAX_CHARS`` code points around its
-    first digit or at sign (of the training sample only)."""
-    near = F.regexp_extract("text", f"(?s).{{0,{MAX_CHARS // 2}}}[0-9@].{{0,{MAX_CHARS // 2}}}", 0)
-    sample = docs.filter(F.col("text").rlike("[0-9@]")).select(F.xxhash64("doc_id", F.lit(SEED)).alias("o"), F.xxhash64("text").alias("t"), near.alias("text"))
-    return fit([r["text"] for r in sample.orderBy("o", "t", "text").limit(max_train).collect()])
+    """Fits to a bounded sample of different rows, of each at most ``MAX_CHARS`` code points around
+    its first digit or at sign (of the training sample only)."""
+    hashed = docs.select(F.xxhash64("doc_id", F.lit(SEED)).alias("o"), F.xxhash64("text").alias("t"), "text").filter(F.col("text").rlike("[0-9@]"))
+    keys = hashed.select("o", "t").orderBy("o", "t").limit(max_train).distinct()
+    start = F.greatest(F.lit(1), F.regexp_instr("text", F.lit("[0-9@]")) - MAX_CHARS // 2)
+    near = F.substr("text", start, F.lit(MAX_CHARS)).alias("text")
+    rows = hashed.join(F.broadcast(keys), ["o", "t"]).select("o", "t", near).groupBy("o", "t").agg(F.min("text").alias("text")).collect()
+    return fit([r["text"] for r in sorted(rows)])
 
 
 def personal_data(docs: DataFrame, crf: Crf | None) -> DataFrame:
