@@ -561,3 +561,58 @@ def test_pipeline(spark):
     got = P.run(spark, SF)
     assert got.count() == sizes[3] and got.filter("NOT round_trip").count() == 0
     assert hashlib.sha256(b"").hexdigest() and docs.select(F.min("n_chars")).first()[0] > 0
+
+
+def _stages_by_hand(rows, percent=80, k=5):
+    """Rows that exact_dedup and near_dedup keep of (doc_id, text, ...), one pair after the other."""
+    groups: dict[str, list] = {}
+    for r in rows:
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", r[1] or ""), []).append(r)
+    exact_kept = [min(g, key=lambda r: (-len(r[1] or ""), r[0] is None, r[0] or 0, r[1] or "")) for g in groups.values()]
+    sets = [jaccard.shingles(r[1], k) if r[0] is not None else set() for r in exact_kept]
+    top = list(range(len(sets)))
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            both = len(a & b)
+            if both and 100 * both >= percent * (len(a) + len(b) - both):
+                top[find(i)] = find(j)
+    first: dict[int, tuple] = {}
+    for i, r in enumerate(exact_kept):
+        c = find(i)
+        if c not in first or (r[0] is not None and r[0] < first[c][0]):
+            first[c] = r
+    return exact_kept, list(first.values())
+
+
+@pytest.mark.parametrize("kind", ["some", "odd", "none"])
+def test_pipeline_against_brute_force(spark, odd, none, tmp_path, kind):
+    import corpus_pipeline as P
+
+    shape = "doc_id long, text string, lang string, source string, n_chars long"
+    made = {"odd": odd, "none": none}.get(kind)
+    docs = spark.read.parquet(f"{SF}/documents.parquet") if made is None else made.select("doc_id", "text", "lang", "source", "n_chars")
+    labels = spark.read.parquet(f"{SF}/labels.parquet") if made is None else spark.createDataFrame([(1, 1, 0), (2, 1, 1)] if kind == "odd" else [], "doc_id long, quality int, toxic int")
+    docs.select(*[c.split()[0] for c in shape.split(", ")]).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    here, out = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    rows = [tuple(r) for r in here.collect()]
+    for name, stage in P.STAGES:
+        here = stage(spark, here, str(tmp_path))
+        out[name] = [tuple(r) for r in here.collect()]
+        here = spark.createDataFrame(out[name], here.schema) if name != P.STAGES[-1][0] else here
+    score = toxicity.train(spark.read.parquet(f"{tmp_path}/documents.parquet"), labels).scorer()
+    assert sorted(map(repr, out["toxicity"])) == sorted(repr(r) for r in rows if score([r[1]])[0] < 0.5)
+    exact_kept, near_kept = _stages_by_hand(out["toxicity"])
+    text = lambda kept: sorted(repr((r[0], r[1] or "")) for r in kept)
+    assert text(out["exact_dedup"]) == text(exact_kept) and text(out["near_dedup"]) == text(_stages_by_hand(out["exact_dedup"])[1]) == text(near_kept)
+    size = {repr(r): len((r[1] or "").encode().split()) for r in out["near_dedup"]}
+    assert {repr(r) for r in out["mixing"]} <= {x for x, n in size.items() if n} and all(out["mixing"].count(r) <= 3 for r in out["mixing"])
+    lattice = pieces.lattice_of(open(pieces.MODEL, "rb").read(), pieces.N_BEST)
+    assert sorted(repr((r[0], list(r[1]), list(r[2]))) for r in out["tokens"]) == sorted(repr((r[0], (g := lattice.encode(r[1]))[0].tolist(), g[1])) for r in out["mixing"])
+    assert P.run(spark, str(tmp_path)).count() == len(out["tokens"])
