@@ -10,6 +10,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
+import re
 import tempfile
 import time
 import uuid
@@ -50,6 +51,8 @@ def scratch(spark: SparkSession) -> str:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = jvm_dir.get() if jvm_dir.isDefined() else None
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
         spark.sparkContext.setCheckpointDir(base)
         spark.conf.set("spark.checkpoint.dir", base)
