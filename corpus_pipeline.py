@@ -3,6 +3,12 @@ again as the next one's documents.
 
 Every stage works on all that the one before it kept.  All but the last return the
 columns of ``documents``; the last returns the token ids of each text of the mix.
+
+Defined results: null and empty texts are one group of equal texts, whose first row stays
+until the mix, which takes only texts with words; rows without doc_id link with nothing and
+stay until then; of equal texts the longest row, then the smallest doc_id stays, of near
+copies the smallest doc_id; rows of one doc_id with different texts are kept apart; the mix
+repeats a document at most three times; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -30,12 +36,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: documents as often as the mix takes them."""
+    """Operator 8: whole documents as often as the mix takes them."""
     return mixing.mixed(docs)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: doc_id, ids, scores of the best segmentations, round_trip."""
+    """Operator 7: doc_id, ids and scores of the best segmentations, round_trip, ids of the others."""
     return pieces.encode(docs)
 
 
@@ -47,7 +53,7 @@ STAGES = [
     ("tokens", tokenise),
 ]
 
-#: Compression lengths and tokens cannot be had in SQL; tests compare with brute force.
+#: Compression lengths and tokens cannot be had in SQL; tests compare every stage with brute force.
 ORACLE_SQL = None
 
 
